@@ -62,6 +62,7 @@ def fly(p: list[float], count: list[float], size: list[float], seed: int, land:
     """The cube method's flight, and with ``land`` its landing, over one block. p: probabilities; the result has 0s and
     1s, and without ``land`` up to two others."""
     rng = np.random.default_rng(seed)
+    start = p
     p, open_ = list(p), []
     most = max(map(abs, size), default=1.0) or 1.0
     size = [x / most for x in size]
@@ -77,9 +78,26 @@ def fly(p: list[float], count: list[float], size: list[float], seed: int, land:
             open_ = _move(p, open_, _null_pair([size[k] for k in open_]), rng.random())
         for i in open_:
             p[i] = float(rng.random() < p[i])
+        _settle(p, start, size)
     return p
 
 
+def _settle(p: list[float], start: list[float], size: list[float]) -> None:
+    """Ends the landing: a long last row may have left the word total half its length off, which single rows make up."""
+    drawn, z, free = np.array(p), np.array(size), (np.array(start) > 0) & (np.array(start) < 1)
+    off = float((z * (drawn - np.array(start))).sum())
+    for _ in range(64):
+        can = np.nonzero(free & (drawn == (1.0 if off > 0 else 0.0)))[0]
+        if not len(can):
+            break
+        best = can[np.argmin(np.abs(abs(off) - z[can]))]
+        if abs(abs(off) - z[best]) >= abs(off):
+            break
+        off += z[best] if off < 0 else -z[best]
+        drawn[best] = 1 - drawn[best]
+    p[:] = drawn.tolist()
+
+
 def _flight(level: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("__size", "descending"), ("__order", "ascending")])  # small ones come last, and so land
