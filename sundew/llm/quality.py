@@ -112,7 +112,8 @@ class LabelModel:
             post = new
 
     def _posterior(self, v: np.ndarray) -> np.ndarray:
-        log = np.log(self.prior) + sum(np.log(self.table[j][:, v[:, j]].T) for j in range(v.shape[1]))
+        # Who says nothing leaves the odds as they are: short texts get few votes.
+        log = np.log(self.prior) + sum(np.where(v[:, j : j + 1] == NONE, 0.0, np.log(self.table[j][:, v[:, j]].T)) for j in range(v.shape[1]))
         p = np.exp(log - log.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
