@@ -71,10 +71,15 @@ def _split(keys: np.ndarray, parts: int) -> list[np.ndarray]:
     return np.split(order, np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))[:-1])
 
 
-def _blocks(batches, parts: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents (part -1) and the counts that they bring to each part (2p: words, 2p + 1: pairs)."""
+def _deltas(keys: np.ndarray) -> bytes:
+    return _press(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _blocks(batches, parts: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents (part -1), or with ``keys_only`` the counts that they bring to each part (2p: words, 2p + 1:
+    pairs). Blocks of the fold are filled apart, so both calls number them alike."""
     hashes = WordHashes()
-    task, made = TaskContext.get().partitionId() << 24, 0
+    task, made = TaskContext.get().partitionId() << 24, {False: 0, True: 0}
 
     class Block:
         def __init__(self):
@@ -88,22 +93,23 @@ def _blocks(batches, parts: int) -> Iterator[pa.RecordBatch]:
             self.n += len(found)
 
         def out(self, fold: bool):
-            nonlocal made
-            block = task | made
-            made += 1
+            block = task | 2 * made[fold] | fold
+            made[fold] += 1
             lengths = np.array([len(p) for p in self.parts], np.int64)
             table, numbers = np.unique(np.concatenate(self.parts), return_inverse=True)
             starts = np.cumsum(lengths) - lengths
-            train = np.repeat(np.array(self.train), lengths)
-            held = np.array([(-1 if i is None else i, i is None, t) for i, t in zip(self.ids, self.train, strict=True)], np.int64)
-            yield _row(block, -1, fold, _press(numbers.astype(np.uint32)), _press(table), _press(lengths), _press(held.T.ravel()))
-            keys, which = np.unique(_pairs(numbers, table, starts), return_inverse=True)
-            for kind, k, w in ((0, table, numbers), (1, keys, which)):
-                count = np.bincount(w, weights=train, minlength=len(k)).astype(np.uint32)
-                extra = np.array([sum(self.train)] if kind == 0 else [], np.uint32)  # contexts at a start
-                for p, at in enumerate(_split(k, parts)):
-                    if len(at) or (kind == 0 and p == 0):
-                        yield _row(block, 2 * p + kind, fold, k[at].tobytes(), _press(count[at]), _press(extra) if p == 0 else b"")
+            if not keys_only:
+                held = np.array([(-1 if i is None else i, i is None, t) for i, t in zip(self.ids, self.train, strict=True)], np.int64)
+                yield _row(block, -1, fold, _press(numbers.astype(np.uint32)), _deltas(table), _press(lengths), _press(held.T.ravel()))
+            else:
+                train = np.repeat(np.array(self.train), lengths)
+                keys, which = np.unique(_pairs(numbers, table, starts), return_inverse=True)
+                for kind, k, w in ((0, table, numbers), (1, keys, which)):
+                    count = np.bincount(w, weights=train, minlength=len(k)).astype(np.uint32)
+                    extra = np.array([sum(self.train)] if kind == 0 else [], np.uint32)  # contexts at a start
+                    for p, at in enumerate(_split(k, parts)):
+                        if len(at) or (kind == 0 and p == 0):
+                            yield _row(block, 2 * p + kind, fold, _deltas(k[at]), _press(count[at]), _press(extra) if p == 0 else b"")
             self.__init__()
 
     held = {False: Block(), True: Block()}
@@ -124,7 +130,7 @@ def _answers(table: pa.Table) -> pa.Table:
     With the words' parts comes a row (block -1) of their sums: tokens, distinct tokens, and for part 0 starts; in all
     and without the fold."""
     part = table.column("part")[0].as_py()
-    rows = [(r["block"], r["fold"], np.frombuffer(r["a"], np.uint64), _read(r["b"], "u4"), _read(r["c"], "u4")) for r in table.select(["block", "fold", "a", "b", "c"]).to_pylist()]
+    rows = [(r["block"], r["fold"], np.cumsum(_read(r["a"], "u8"), dtype=np.uint64), _read(r["b"], "u4"), _read(r["c"], "u4")) for r in table.select(["block", "fold", "a", "b", "c"]).to_pylist()]
     keys, which = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
     count = np.concatenate([r[3] for r in rows]).astype(np.float64)
     mine = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
@@ -150,7 +156,7 @@ def _whole(table: pa.Table, parts: int, column: str):
     """A block with the counts of its tokens: ids, train, lengths, counts of pair, context and word."""
     rows = {r["part"]: r for r in table.to_pylist()}
     block = rows[-1]
-    numbers, words_, lengths = _read(block["a"], "u4"), _read(block["b"], "u8"), _read(block["c"], "i8")
+    numbers, words_, lengths = _read(block["a"], "u4"), np.cumsum(_read(block["b"], "u8"), dtype=np.uint64), _read(block["c"], "i8")
     ids, null, train = _read(block["d"], "i8").reshape(3, -1)
     starts = np.cumsum(lengths) - lengths
     keys, which = np.unique(_pairs(numbers, words_, starts), return_inverse=True)
@@ -223,21 +229,27 @@ def _scores(table: pa.Table, parts: int, totals: np.ndarray, weights: np.ndarray
     return pa.table([pa.array(ids, pa.int64()), pa.array(train == 0), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), int(n))), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _with_answers(text: DataFrame, answers: DataFrame, parts: int):
+    """Blocks with their answers. Blocks are made again from the same splits of the input, which costs less than keeping them."""
+    blocks = text.mapInArrow(lambda batches: _blocks(batches, parts, False), PIECES)
+    return blocks.unionAll(answers.where("block >= 0")).groupBy("block")
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed
     unigrams), score (the interpolated model's log10 probability)."""
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // PART_BYTES))
-    made = checkpoint(text.mapInArrow(lambda batches: _blocks(batches, parts), PIECES))
-    answers = checkpoint(made.where("part >= 0").groupBy("part").applyInArrow(_answers, PIECES))
+    keys = text.mapInArrow(lambda batches: _blocks(batches, parts, True), PIECES)
+    answers = checkpoint(keys.groupBy("part").applyInArrow(_answers, PIECES))
     totals = np.zeros(5, np.int64)
     for r in answers.where("block = -1").select("a").collect():  # five numbers for each part
         totals += np.frombuffer(r["a"], np.int64)
-    both = made.where("part = -1").unionAll(answers.where("block >= 0"))
-    cells = both.where("fold").groupBy("block").applyInArrow(lambda t: _cells(t, parts, totals), "bucket long, cell2 long, cell1 long, n long, sum2 double, sum1 double")
+    learned = _with_answers(text.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 1), answers.where("fold"), parts)
+    cells = learned.applyInArrow(lambda t: _cells(t, parts, totals), "bucket long, cell2 long, cell1 long, n long, sum2 double, sum1 double")
     weights = learn_weights([r.asDict() for r in cells.groupBy("bucket", "cell2", "cell1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("sum2"), F.sum("sum1").alias("sum1")).orderBy("bucket", "cell2", "cell1").collect()])
-    return both.groupBy("block").applyInArrow(lambda t: _scores(t, parts, totals, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _with_answers(text, answers, parts).applyInArrow(lambda t: _scores(t, parts, totals, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_deleted_interpolation(spark, sf_dir: str) -> DataFrame:

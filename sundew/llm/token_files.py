@@ -15,8 +15,10 @@ ordered by a hash of their ids, so the order does not depend on how rows are dea
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -56,6 +58,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return four[at].view("<u4").ravel() & KEEP[size]
 
 
+#: A word of Latin letters and what ASCII punctuation (but apostrophes) ends it: one or two pieces for the tokenizer.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+
+
 class WordTokens(dict):
     """Ids of blank-separated words, each tokenized once in a task.
 
@@ -69,6 +75,9 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self)
@@ -84,13 +93,32 @@ class WordTokens(dict):
             codes.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if len(self) > len(self.first):
             fresh = [w.decode() for w in islice(self, len(self.first), None)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
+            flat, first, count = self._tokenize(fresh)
+            self.first = np.concatenate([self.first, len(self.flat) + first])
+            self.flat = np.concatenate([self.flat, flat])
             self.count = np.concatenate([self.count, count])
         return [self._gather(c) for c in codes]
 
+    def _tokenize(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and where those of each begin and how many they are. Plain words go through
+        the tokenizer many to a text; the ends of their one or two pieces tell them apart."""
+        plain = [_PLAIN.fullmatch(w) for w in fresh] if self.ends.any() else [None] * len(fresh)
+        easy = [i for i, m in enumerate(plain) if m]
+        hard = [i for i, m in enumerate(plain) if not m]
+        lines = [" ".join(fresh[i] for i in easy[a : a + 512]) for a in range(0, len(easy), 512)]
+        some = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in hard], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(some), np.uint32)
+        pieces = np.cumsum([1 + bool(plain[i][2]) for i in easy], dtype=np.int64)
+        stops = np.nonzero(self.ends[flat])[0][pieces - 1] + 1 if len(easy) else np.zeros(0, np.int64)
+        first, count = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        first[easy] = np.concatenate([[0], stops[:-1]]) if len(easy) else 0
+        count[easy] = stops - first[easy]
+        long = np.fromiter(map(len, rest), np.int64, len(rest))
+        first[hard] = len(flat) + np.cumsum(long) - long
+        count[hard] = long
+        return np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.uint32, int(long.sum()))]), first, count
+
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         if not len(codes):
             return np.zeros(0, np.uint32)
@@ -102,6 +130,12 @@ class WordTokens(dict):
         return self.encode_many([text])[0]
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> WordTokens:
+    """A worker keeps its words from task to task."""
+    return WordTokens(path)
+
+
 def _slices(batch: pa.RecordBatch, most: int = 2048) -> Iterator[pa.RecordBatch]:
     for a in range(0, batch.num_rows, most):
         yield batch.slice(a, most)
@@ -111,7 +145,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n long, ids binary (zstd over little-endian 32-bit ids, the end id included)."""
 
     def run(batches):
-        vocabulary = WordTokens(path)
+        vocabulary = _vocabulary(path)
         press = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for batch in _slices(whole):
