@@ -29,8 +29,13 @@ CLASSES = ("good", "junk", "toxic")
 GOOD, JUNK, TOXIC, NONE = 0, 1, 2, 3
 #: Documents that the scorer learns from, in expectation; its hashed features; epochs.
 SAMPLE, FEATURES, EPOCHS = 6000, 1 << 17, 4
-#: Abusive words.
-ABUSE = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+#: Abusive words of English, French, German and Spanish.
+ABUSE = frozenset(
+    "clown disgusting dumbass idiot imbecile loser moron pathetic scum stupid trash worthless "
+    "abruti connard crétin imbécile ordure salaud "
+    "abschaum arschloch dreckskerl dummkopf vollidiot "
+    "cabrón escoria estúpido gilipollas idiota imbécil".split()
+)
 #: Frequent short words of running English, French, German and Spanish text.
 FUNCTION_WORDS = frozenset(
     "a an and are as at be by for from has he in is it of on or that the this to was were will with "
