@@ -28,8 +28,8 @@ from .common import by_sorted_key, checkpoint, read_table
 
 #: Projections; share of them that must collide; growth of the radius; first radius in standard deviations.
 M, ALPHA, C, R0 = 48, 0.75, 1.3, 0.25
-#: Rows of a block of vectors, and of queries.
-VECTORS, QUERIES = 4096, 2048
+#: Rows of a block of vectors, and of queries. Large blocks of vectors make few windows for each query.
+VECTORS, QUERIES = 65_536, 1024
 SEED = 7
 
 
@@ -43,28 +43,37 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, norm: float, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of the k best that each query finds among the vectors; norm: no vector is longer."""
-    dim = vectors.shape[1]
+    """(query, ids, scores) of the k best that each query finds among the vectors; norm: no vector is longer.
+
+    All queries widen by the same radii, so the edges of their windows are searched at once for each array.
+    """
+    n, dim = vectors.shape
     a = projections(dim + 1)
     lift = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(1), 0))
     keys = a @ np.concatenate([vectors, lift[:, None]], 1).T / norm
     order = np.argsort(keys, axis=1, kind="stable")
     keys = np.take_along_axis(keys, order, 1)
+    lengths = np.sqrt((queries * queries).sum(1))
+    centres = a[:, :dim] @ (queries / lengths[:, None]).T
+    whole = max(np.abs(centres - keys[:, :1]).max(), np.abs(keys[:, -1:] - centres).max())
+    radii = [R0]
+    while radii[-1] < whole:
+        radii.append(radii[-1] * C)
+    steps = np.array(radii)[:, None]
+    low, high = (np.empty((M, len(radii), len(queries)), np.int32) for _ in range(2))
+    for j in range(M):
+        low[j] = np.searchsorted(keys[j], centres[j] - steps)
+        high[j] = np.searchsorted(keys[j], centres[j] + steps, "right")
+    middle = np.stack([np.searchsorted(keys[j], centres[j]) for j in range(M)])
     need = int(np.ceil(ALPHA * M))
-    n = len(ids)
-    for query_id, query in zip(query_ids.tolist(), queries, strict=True):
-        unit = np.append(query / np.sqrt((query * query).sum()), 0.0)
-        centre = a @ unit
-        low = [int(np.searchsorted(keys[j], centre[j])) for j in range(M)]
-        high, hits, checked = list(low), np.zeros(n, np.int16), np.zeros(n, bool)
+    for i, (query_id, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+        hits, checked = np.zeros(n, np.int64), np.zeros(n, bool)
         got_ids, got = np.zeros(0, np.int64), np.zeros(0)
-        radius = R0
-        while True:
-            for j in range(M):
-                lo, hi = int(np.searchsorted(keys[j], centre[j] - radius)), int(np.searchsorted(keys[j], centre[j] + radius, "right"))
-                hits[order[j, lo : low[j]]] += 1
-                hits[order[j, high[j] : hi]] += 1
-                low[j], high[j] = min(lo, low[j]), max(hi, high[j])
+        below = above = middle[:, i].tolist()
+        for radius, lo, hi in zip(radii, low[:, :, i].T.tolist(), high[:, :, i].T.tolist(), strict=True):
+            rings = [order[j, x:y] for j, (x, y) in enumerate(zip(lo, below, strict=True))] + [order[j, x:y] for j, (x, y) in enumerate(zip(above, hi, strict=True))]
+            hits += np.bincount(np.concatenate(rings), minlength=n)
+            below, above = lo, hi
             fresh = np.nonzero((hits >= need) & ~checked)[0]
             if len(fresh):
                 checked[fresh] = True
@@ -73,14 +82,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, norm: float, query_ids: n
                 if len(got) > k:
                     best = np.lexsort((got_ids, -got))[:k]
                     got_ids, got = got_ids[best], got[best]
-            if checked.all() or (max(low) == 0 and min(high) == n):
+            if checked.all():
                 break
             if len(got) == k:
                 # The distance of the k-th on the sphere: at this radius a nearer vector has collided in more than ``need`` windows.
-                cosine = got[-1] / (norm * np.sqrt((query * query).sum()))
+                cosine = got[-1] / (norm * lengths[i])
                 if radius >= REACH * np.sqrt(max(2 - 2 * cosine, 1e-12)):
                     break
-            radius *= C
         best = np.lexsort((got_ids, -got))
         yield query_id, got_ids[best], got[best]
 
