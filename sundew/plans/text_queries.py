@@ -17,12 +17,14 @@ def _ids(spark, sf_dir, predicate):
     return _held(spark, sf_dir).where(predicate).select("dbid")
 
 
-t = F.col("t")
+def t():
+    """The tokens; columns cannot be made before there is a session."""
+    return F.col("t")
 
 
 @query(D + "SELECT dbid FROM d WHERE list_contains(t, 'ther')")
 def term_match(spark, sf_dir):
-    return _ids(spark, sf_dir, T.term(t, "ther"))
+    return _ids(spark, sf_dir, T.term(t(), "ther"))
 
 
 @query("SELECT p_partkey FROM part WHERE list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), 'ring') OR list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), 'ring') OR list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), 'promo')")
@@ -33,22 +35,22 @@ def text_default_fields(spark, sf_dir):
 
 @query(D + "SELECT dbid FROM d WHERE list_contains(t, 'the') AND list_contains(t, 'ering')")
 def bool_and(spark, sf_dir):
-    return _ids(spark, sf_dir, T.term(t, "the") & T.term(t, "ering"))
+    return _ids(spark, sf_dir, T.term(t(), "the") & T.term(t(), "ering"))
 
 
 @query(D + "SELECT dbid FROM d WHERE list_contains(t, 'der') OR list_contains(t, 'que')")
 def bool_or(spark, sf_dir):
-    return _ids(spark, sf_dir, T.term(t, "der") | T.term(t, "que"))
+    return _ids(spark, sf_dir, T.term(t(), "der") | T.term(t(), "que"))
 
 
 @query(D + "SELECT dbid FROM d WHERE NOT list_contains(t, 'the')")
 def bool_not(spark, sf_dir):
-    return _ids(spark, sf_dir, T.complement(T.term(t, "the")))
+    return _ids(spark, sf_dir, T.complement(T.term(t(), "the")))
 
 
 @query(D + "SELECT dbid FROM d WHERE list_contains(t, 'ering') OR NOT list_contains(t, 'the')")
 def or_with_negation(spark, sf_dir):
-    return _ids(spark, sf_dir, T.term(t, "ering") | ~T.term(t, "the"))
+    return _ids(spark, sf_dir, T.term(t(), "ering") | ~T.term(t(), "the"))
 
 
 @query("SELECT doc_id AS dbid FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT coalesce(quality = 1, false)")
@@ -65,12 +67,12 @@ def not_in_complement(spark, sf_dir):
 
 @query(D + "SELECT dbid FROM d WHERE len(list_filter(t, lambda x: starts_with(x, 'ouwh'))) > 0")
 def prefix(spark, sf_dir):
-    return _ids(spark, sf_dir, T.prefix(t, "ouwh"))
+    return _ids(spark, sf_dir, T.prefix(t(), "ouwh"))
 
 
 @query(D + "SELECT dbid FROM d WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'th.*ndr.a'))) > 0")
 def wildcard(spark, sf_dir):
-    return _ids(spark, sf_dir, T.wildcard(t, "th*ndr?a"))
+    return _ids(spark, sf_dir, T.wildcard(t(), "th*ndr?a"))
 
 
 @query("SELECT doc_id AS dbid FROM documents WHERE regexp_matches(text, '(?s)^.*\\*\\*\\* .*$')")
@@ -90,22 +92,22 @@ def not_like(spark, sf_dir):
 
 @query(D + "SELECT dbid FROM d WHERE len(list_filter(t, lambda x: levenshtein(x, 'ertion') <= 1)) > 0")
 def fuzzy(spark, sf_dir):
-    return _ids(spark, sf_dir, T.fuzzy(t, "ertion", 0.7))
+    return _ids(spark, sf_dir, T.fuzzy(t(), "ertion", 0.7))
 
 
 @query(D + "SELECT dbid FROM d WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0")
 def phrase(spark, sf_dir):
-    return _ids(spark, sf_dir, T.phrase(t, ["of", "the"]))
+    return _ids(spark, sf_dir, T.phrase(t(), ["of", "the"]))
 
 
 @query(D + "SELECT dbid FROM d WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'that' AND list_contains(t[i + 1 : i + 3], 'for'))) > 0")
 def phrase_slop(spark, sf_dir):
-    return _ids(spark, sf_dir, T.phrase(t, ["that", "for"], slop=2))
+    return _ids(spark, sf_dir, T.phrase(t(), ["that", "for"], slop=2))
 
 
 @query(D + "SELECT dbid FROM d WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'was' AND list_contains(t[i + 1 : i + 5], 'with'))) > 0")
 def proximity(spark, sf_dir):
-    return _ids(spark, sf_dir, T.near(t, "was", "with", 4))
+    return _ids(spark, sf_dir, T.near(t(), "was", "with", 4))
 
 
 @query("SELECT doc_id AS dbid FROM documents WHERE list_contains(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), 'That')")
@@ -115,7 +117,7 @@ def exact_term(spark, sf_dir):
 
 @query(D + "SELECT dbid FROM d WHERE list_has_any(t, ['idiot', 'moron', 'clown'])")
 def synonym_expand(spark, sf_dir):
-    return _ids(spark, sf_dir, T.any_term(t, ["idiot", "moron", "clown"]))
+    return _ids(spark, sf_dir, T.any_term(t(), ["idiot", "moron", "clown"]))
 
 
 @query("SELECT p_partkey FROM part WHERE list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), 'red') AND p_type = 'PROMO'")

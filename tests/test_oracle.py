@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -46,3 +48,9 @@ def test_entry_has_the_contract(spark):
 
     assert entry.entry(spark).count() <= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_can_be_listed_without_a_session():
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
