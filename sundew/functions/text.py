@@ -33,6 +33,20 @@ def localized(texts: Column | str, locales: list[str]) -> Column:
     return F.map_values(F.map_filter(column, lambda k, v: k.isin(*locales, *languages)))
 
 
+def closest(texts: Column | str, locale: str, default: str = "en") -> Column:
+    """The value of a map (locale to text) that is nearest to the locale: its own, its language's, another one of the same
+    language, the default language's, else that of the first locale by name. Null for an empty map."""
+    column = F.col(texts) if isinstance(texts, str) else texts
+    language = locale.split("_")[0]
+
+    def first(held: Column) -> Column:
+        return F.get(F.array_sort(F.map_keys(held)), F.lit(0))
+
+    kin = first(F.map_filter(column, lambda k, v: k.startswith(language + "_")))
+    key = F.coalesce(*[F.when(F.map_contains_key(column, x), F.lit(x)) for x in (locale, language)], kin, F.when(F.map_contains_key(column, default), F.lit(default)), first(column))
+    return F.element_at(column, key)
+
+
 def term(held: Column, word: str) -> Column:
     return holds(F.array_contains(held, word.lower()))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import closest, tokens
 from ..operators import facets as C
 from ..operators import ranking as R
 from ..sources.content import changes, delete, hierarchy, latest, merge_fields, nodes, table, upsert
@@ -344,3 +344,34 @@ def atomic_update(spark, sf_dir):
 def upsert_versions(spark, sf_dir):
     now = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(1).alias("version"))
     return upsert(now, now.where("s_suppkey < 5").withColumn("version", F.lit(2)), "s_suppkey", "version")
+
+
+_PROGRESS = """
+WITH s AS (SELECT event_type AS core, epoch(date_trunc('day', ts))::DOUBLE AS sec, max(event_id) AS done FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY core ORDER BY sec) AS k, count(*) OVER (PARTITION BY core) AS n FROM s),
+g AS (SELECT core, n, regr_slope(done, sec) AS rate, regr_slope(done, sec) FILTER (k <= n // 2) AS older, regr_slope(done, sec) FILTER (k > n // 2) AS newer,
+             arg_max(10000000 - done, sec) AS remaining FROM r GROUP BY core, n)
+SELECT core, CASE WHEN rate >= 0 THEN round(rate * 86400, 3) END AS per_day,
+       CASE WHEN NOT rate >= 0 THEN NULL WHEN remaining <= 0 THEN 0 WHEN rate > 0 THEN ceil(remaining / rate)::BIGINT END AS eta,
+       CASE WHEN n < 4 OR NOT (rate >= 0 AND older >= 0 AND newer >= 0) THEN NULL WHEN newer > older * 1.1 THEN 'RISING' WHEN newer < older * 0.9 THEN 'FALLING' ELSE 'STEADY' END AS trend
+FROM g
+"""
+
+
+@query(_PROGRESS)
+def progress_rate(spark, sf_dir):
+    """How fast each kind of change is worked off, by a reading a day."""
+    day = F.unix_timestamp(F.date_trunc("day", "commit"))
+    samples = changes(spark, sf_dir).groupBy(c("event_type").alias("core"), day.alias("at")).agg(F.max("tx").alias("done"))
+    out = S.progress(samples.withColumn("remaining", F.lit(10_000_000) - c("done")), "core")
+    return out.select("core", F.round(c("rate") * 86400, 3).alias("per_day"), "eta", "trend")
+
+
+@query("WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE p_name END AS value FROM part) SELECT p_partkey, value FROM t ORDER BY value, p_partkey")
+def sort_multilanguage(spark, sf_dir):
+    """Parts with names in different locales, in the order of the values nearest to Canadian French."""
+    name, brand, kind = c("p_name"), c("p_brand"), c("p_type")
+    sets = [("fr_CA", name, "fr", brand), ("fr", brand, "en", name), ("de", brand, "fr_FR", kind), ("de", brand, "en", name)]
+    texts = F.coalesce(*[F.when(c("p_partkey") % 4 == k, F.create_map(F.lit(a), x, F.lit(b), y)) for k, (a, x, b, y) in enumerate(sets)])
+    rows = table(spark, sf_dir, "part").select("p_partkey", closest(texts, "fr_CA").alias("value"))
+    return rows.orderBy("value", "p_partkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.content import changes, latest, table
@@ -51,6 +51,31 @@ def repair(errors: DataFrame, tries: int = 10) -> DataFrame:
     return errors.select("dbid", "attempts", outcome.alias("outcome"))
 
 
+def progress(samples: DataFrame, key: str, band: float = 0.1) -> DataFrame:
+    """key, rate, eta, trend from samples (key, at in seconds, done, remaining): the least-squares slope of ``done``, the
+    seconds left at this rate, and whether the newer half of the samples is faster than the older one by more than
+    ``band``. A falling or unknown count gives nulls, as does a half with fewer than two samples for the trend.
+
+    Samples are the readings of one counter, so a key has few; a count over events comes before.
+    """
+    own = Window.partitionBy(key)
+    place, n = F.row_number().over(own.orderBy("at")), F.count("*").over(own)
+    halves = samples.withColumn("__old", place <= F.floor(n / 2))
+    x, y = F.col("at").cast("double"), F.col("done").cast("double")
+
+    def slope(which: Column) -> Column:
+        """Null where there are fewer than two samples or any has no count."""
+        fine = (F.count_if(which) >= 2) & (F.count_if(which & y.isNull()) == 0)
+        return F.when(fine, F.regr_slope(F.when(which, y), F.when(which, x)))
+
+    found = halves.groupBy(key).agg(slope(F.lit(True)).alias("rate"), slope(F.col("__old")).alias("older"), slope(~F.col("__old")).alias("newer"), F.max_by("remaining", "at").alias("remaining"))
+    known = F.col("rate") >= 0
+    eta = F.when(F.col("remaining") <= 0, F.lit(0)).when(F.col("rate") > 0, F.ceil(F.col("remaining") / F.col("rate"))).cast("long")
+    trend = F.when(F.col("newer") > F.col("older") * (1 + band), "RISING").when(F.col("newer") < F.col("older") * (1 - band), "FALLING").otherwise("STEADY")
+    fair = known & (F.col("older") >= 0) & (F.col("newer") >= 0)
+    return found.select(key, F.when(known, F.col("rate")).alias("rate"), F.when(known, eta).alias("eta"), F.when(fair, trend).alias("trend"))
+
+
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log as a stream over the files of ``events``; new files are new transactions."""
     schema = table(spark, sf_dir, "events").schema
@@ -89,4 +114,4 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return follow(log_stream(spark, sf_dir), working_folder(spark)).where("what = 'update'").select("dbid", "tx", "value")
 
 
-__all__ = ["cascade", "changes", "current", "due", "follow", "holes", "log_stream", "repair", "routes", "tracked", "verdicts"]
+__all__ = ["cascade", "changes", "current", "due", "follow", "holes", "log_stream", "progress", "repair", "routes", "tracked", "verdicts"]
