@@ -119,6 +119,18 @@ def by_sorted_key(df: DataFrame, key: str, make: Callable[[pa.Table], Iterator[p
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+def rows_where(docs: DataFrame, fine: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``text`` is judged fine, each by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            kept = batch.filter(pa.array(fine(batch.column(last).to_pylist()), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:last], batch.schema.names[:last])
+
+    return docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, docs.schema)
+
+
 def positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
     """``df`` with the 0-based place of each row in the given order.
 

@@ -16,14 +16,16 @@ give repeated pairs. Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, positions, read_table, shingle_hashes, words
+from .common import WordHashes, checkpoint, positions, read_table, rows_where, shingle_hashes, words
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketch values beyond those that may be missing.
@@ -88,17 +90,21 @@ class Sketches:
         return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item: documents that hold ``percent`` % or more of an item's shingles."""
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame, width: int, percent: int) -> Iterator[Broadcast]:
+    """The sketches of each block of items, broadcast."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     placed = checkpoint(positions(items, F.col("item_id").asc_nulls_last(), F.col("text"), name="at"))
     blocks = (placed.agg(F.max("at")).first()[0] or 0) // BLOCK_ITEMS + 1
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    passes = []
     for b in range(blocks):
         block = placed.where(F.floor(F.col("at") / BLOCK_ITEMS) == b).orderBy("at").select("item_id", "text").collect()  # BLOCK_ITEMS at most
-        held = spark.sparkContext.broadcast(Sketches([tuple(r) for r in block], width, percent))
+        yield benchmark.sparkSession.sparkContext.broadcast(Sketches([tuple(r) for r in block], width, percent))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item: documents that hold ``percent`` % or more of an item's shingles."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    passes = []
+    for held in blocks_of(benchmark, width, percent):
 
         def probe(batches, held=held):
             hashes, sketches = WordHashes(), held.value
@@ -114,11 +120,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with the columns they had. Rows without an id cannot be told
-    apart by it; they go if any row without an id holds an item."""
-    bad = leaks(docs, benchmark, width, percent).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__d"))
-    return rows.join(bad, F.col("__d").eqNullSafe(F.col("__id")), "left_anti").select("__row.*")
+    """The rows of ``docs`` that hold no benchmark item, with the columns they had. Each row goes by its own text, whatever
+    its id; what a block of items leaves is kept for the next, so a task holds one block."""
+    rows = docs
+    for b, held in enumerate(blocks_of(benchmark, width, percent)):
+
+        def clean(texts, held=held):
+            hashes = WordHashes()
+            return [not held.value.inside(hashes.of(words(t))) for t in texts]
+
+        rows = rows_where(checkpoint(rows) if b else rows, clean)
+    return rows
 
 
 def op5_containment(spark, sf_dir: str) -> DataFrame:

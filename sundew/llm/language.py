@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, rows_where
 
 ORDER = 4
 #: Documents of each language that trees are learned from, in expectation.
@@ -130,30 +130,34 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(samples) if samples else None
 
 
+def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[float | None]]:
+    """Language, score and bits per byte of each text."""
+    fine = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
+    pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+    size, piece, pieces = 0, [], []
+    for i in fine:
+        piece.append(i)
+        size += len(texts[i])
+        if size >= PIECE:
+            pieces.append(piece)
+            size, piece = 0, []
+    for piece in [*pieces, piece] if piece else pieces:
+        bits = model.bits([texts[i] for i in piece])
+        best = bits.argmin(1)
+        share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
+        for row, i in enumerate(piece):
+            pred[i], score[i] = model.languages[best[row]], share[row]
+            rate[i] = bits[row, best[row]] / len(texts[i].lower().encode("utf-8", "replace"))
+    return pred, score, rate
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of each row of ``docs`` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = held.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fine = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
-            pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-            size, piece, pieces = 0, [], []
-            for i in fine:
-                piece.append(i)
-                size += len(texts[i])
-                if size >= PIECE:
-                    pieces.append(piece)
-                    size, piece = 0, []
-            for piece in [*pieces, piece] if piece else pieces:
-                bits = model.bits([texts[i] for i in piece])
-                best = bits.argmin(1)
-                share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                for row, i in enumerate(piece):
-                    pred[i], score[i] = model.languages[best[row]], share[row]
-                    rate[i] = bits[row, best[row]] / len(texts[i].lower().encode("utf-8", "replace"))
+            pred, score, rate = judge(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
@@ -170,10 +174,14 @@ def learned(docs: DataFrame) -> Model | None:
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` with an identified language, with the columns they had: those that are not ``und`` and whose
-    language has a posterior of ``least`` or more. Rows without an id go if any of them is rejected."""
-    bad = predict(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__d"))
-    return rows.join(bad, F.col("__d").eqNullSafe(F.col("__id")), "left_anti").select("__row.*")
+    language has a posterior of ``least`` or more. Each row goes by its own text, whatever its id."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def fine(texts):
+        pred, score, _ = judge(held.value, texts)
+        return [p != "und" and s >= least for p, s in zip(pred, score, strict=True)]
+
+    return rows_where(docs, fine)
 
 
 def is_held_out(doc_id) -> bool:

@@ -12,8 +12,8 @@
 4. Components of the links are the groups; the smallest ``doc_id`` of each stays.
 
 Texts without words, or null, link with nothing. Rows with a null ``doc_id`` take part under a stand-in above all ids: they
-are kept only where a group has no id, and ``component_id`` is null there. Rows with the same ``doc_id`` are one document.
-Empty tables give empty results. Other columns do not matter.
+are kept only where a group has no id, and ``component_id`` is null there. Rows are told apart by id and text, so rows with the
+same ``doc_id`` link, stay and fall each by its own text. Empty tables give empty results. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_sorted_key, checkpoint, components, read_table, shingle_set, words
+from .common import WORD, WordHashes, by_sorted_key, checkpoint, components, read_table, shingle_set, words
 
 #: Values that a sketch retains.
 K = 32
@@ -54,25 +54,30 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(STAND_IN) + F.xxhash64("text").bitwiseAND(F.lit(STAND_IN - 1)))
 
 
+def row_hash() -> Column:
+    """A second hash of the text, independent of the stand-in; with ``row_id`` it names a row but for exact copies."""
+    return F.xxhash64(F.lit(1), F.col("text").cast("string"))
+
+
 def _hash128(values: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(values.tobytes())
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """rid (doc_id, or its stand-in), doc_id, n_shingles, same (digest of the set), sketch (k smallest hashes as longs)."""
+    """rid (doc_id, or its stand-in), rhash, doc_id, n_shingles, same (digest of the set), sketch (k smallest hashes as longs)."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             n, same, sketch = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = shingle_set(hashes.of(words(text)), width)
                 n.append(len(found))
                 same.append(_hash128(found) if len(found) else None)
                 sketch.append(found[:K].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["rid", "doc_id", "n_shingles", "same", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["rid", "rhash", "doc_id", "n_shingles", "same", "sketch"])
 
-    return docs.select(row_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, n_shingles long, same binary, sketch array<bigint>")
+    return docs.select(row_id().alias("rid"), row_hash().alias("rhash"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, rhash long, doc_id long, n_shingles long, same binary, sketch array<bigint>")
 
 
 def neighbourhoods(classes: DataFrame, percent: int) -> DataFrame:
@@ -144,23 +149,32 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
 
 
 def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (src, dst) among the classes ``members`` (node, component); docs has (node, text) of one row of each."""
+    """Verified links (src, dst) among the classes ``members`` (node, component, rid, rhash, same); docs has (rid, rhash, text)."""
     sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     placed = members.join(sizes, "component").withColumn("blocks", F.when(F.col("n") <= 2 * TILE, 1).otherwise(F.ceil(F.col("n") / TILE)).cast("long"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("node", "component", "blocks", "block")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("rid", "rhash", "same", "node", "component", "blocks", "block")
 
     def sets_of(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            found = [shingle_set(hashes.of(words(t)), width).tobytes() for t in batch.column("text").to_pylist()]
-            keep = [batch.column(c) for c in ("node", "component", "blocks", "block")]
+            at, found = [], []
+            for i, (node, same, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "same", "text")), strict=True)):
+                if node in seen:  # an exact copy of the row
+                    continue
+                one = shingle_set(hashes.of(words(text)), width)
+                if _hash128(one) == same:
+                    seen.add(node)
+                    at.append(i)
+                    found.append(one.tobytes())
+            keep = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("node", "component", "blocks", "block")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.binary())], ["node", "component", "blocks", "block", "shingles"])
 
-    full = docs.join(placed, "node").select("node", "component", "blocks", "block", "text").mapInArrow(sets_of, "node long, component long, blocks long, block long, shingles binary")
+    full = docs.join(placed, ["rid", "rhash"]).select("node", "component", "blocks", "block", "same", "text").mapInArrow(sets_of, "node long, component long, blocks long, block long, shingles binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tiles = full.select("*", other).select("node", "block", "shingles", F.concat_ws(":", "component", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
 
     def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.take(pa.array(np.unique(table.column("node").to_numpy(), return_index=True)[1]))  # copies from several tasks
         nodes = table.column("node").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         found = list(linked(nodes, sets, table.column("block").to_numpy(), percent)) if len(sets) > 1 else []
@@ -169,28 +183,43 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
     return by_sorted_key(tiles, "tile", verify, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) with rid, doc_id, n_shingles, component_id, kept: all whose word shingles of
-    ``width`` have a Jaccard similarity of ``percent`` / 100 or more are joined, directly or over others."""
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and for each class (same) the row that stays of its group: keep_rid, keep_rhash."""
     made = checkpoint(sketches(docs, width))
     some = made.where("n_shingles > 0")
-    classes = checkpoint(some.groupBy("same").agg(F.min("rid").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    classes = some.groupBy("same").agg(F.min(F.struct("rid", "rhash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # Several classes may have one id, so they are numbered; the checkpoint fixes the numbers.
+    classes = checkpoint(classes.select("same", "first.rid", "first.rhash", "n_shingles", "sketch", F.monotonically_increasing_id().alias("node")))
     near = checkpoint(neighbourhoods(classes, percent))
-    texts = docs.select(row_id().alias("node"), F.col("text").cast("string").alias("text"))
-    joined = components(links(texts, near, width, percent))
-    # An id may own several texts, so a class belongs to the smallest component that its id is in.
-    of_class = classes.join(joined, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    out = made.join(of_class, "same", "left").withColumn("component_id", F.coalesce("component", "rid"))
-    return out.select("rid", "doc_id", "n_shingles", F.when(F.col("component_id") < STAND_IN, F.col("component_id")).alias("component_id"), (F.col("component_id") == F.col("rid")).alias("kept"))
+    texts = docs.select(row_id().alias("rid"), row_hash().alias("rhash"), F.col("text").cast("string").alias("text"))
+    joined = components(links(texts, near.join(classes.select("node", "rid", "rhash", "same"), "node"), width, percent))
+    placed = checkpoint(joined.join(classes.select("node", "same", "rid", "rhash"), "node").select("same", "component", "rid", "rhash"))
+    first = placed.groupBy("component").agg(F.min(F.struct("rid", "rhash")).alias("first"))
+    of_group = placed.select("same", "component").join(first, "component").select("same", F.col("first.rid").alias("keep_rid"), F.col("first.rhash").alias("keep_rhash"))
+    alone = classes.select("same", F.col("rid").alias("keep_rid"), F.col("rhash").alias("keep_rhash")).join(of_group.select("same"), "same", "left_anti")
+    return made, of_group.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with rid, doc_id, n_shingles, component_id, kept: all whose word shingles of
+    ``width`` have a Jaccard similarity of ``percent`` / 100 or more are joined, directly or over others."""
+    made, of_class = grouped(docs, width, percent)
+    out = made.join(of_class, "same", "left").withColumn("component_id", F.coalesce("keep_rid", "rid"))
+    kept = F.col("keep_rid").isNull() | ((F.col("keep_rid") == F.col("rid")) & (F.col("keep_rhash") == F.col("rhash")))
+    return out.select("rid", "doc_id", "n_shingles", F.when(F.col("component_id") < STAND_IN, F.col("component_id")).alias("component_id"), kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of ``docs``, with the columns it had: that of the smallest ``doc_id``; of rows with the
-    same id one. Rows without an id or words stay if no group holds them."""
-    decided = near_duplicates(docs, width, percent).where("kept").select(F.col("rid").alias("__id")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), row_id().alias("__id"))
-    kept = rows.join(decided, "__id", "left_semi")
-    return kept.groupBy("__id").agg(F.first("__row").alias("__row")).select("__row.*")
+    """One document of each group of ``docs``, with the columns it had: that of the smallest ``doc_id``; where several rows of
+    the group have it, that of the smallest hash of text and columns. Rows without words all stay, as they link with nothing."""
+    _, of_class = grouped(docs, width, percent)
+    decided = of_class.select(F.col("keep_rid").alias("__id"), F.col("keep_rhash").alias("__hash")).distinct()
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    rows = docs.where(worded).select(F.struct("*").alias("__row"), row_id().alias("__id"), row_hash().alias("__hash"))
+    kept = rows.join(decided, ["__id", "__hash"], "left_semi")
+    order = F.xxhash64(*[F.col("__row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = kept.groupBy("__id", "__hash").agg(F.min_by("__row", order).alias("__row")).select("__row.*")
+    return one.unionByName(docs.where(~worded))
 
 
 def op3_bottom_k(spark, sf_dir: str) -> DataFrame:
