@@ -4,7 +4,8 @@
 2. A class keeps its k smallest hashes. The document frequency of every retained value orders them; two classes above the
    similarity share at least ``need`` of their retained values, so they meet in the inverted list of one of the
    ``k - need + 1`` rarest (prefix filtering). Common passages therefore make no lists, unless they are most of a text.
-   For sets that fit into the sketch ``need`` is exact; else the chance that a linked pair shares less is below 1e-7.
+   For sets that fit into the sketch ``need`` is exact, larger partners included (``shared_by_size``); else the chance that
+   a linked pair shares less is below 1e-7.
 3. Lists join their members into neighbourhoods (connected components of one edge for each member, never all pairs).
    Inside a neighbourhood inverted lists of retained values count overlaps, the estimate on the union's sketch filters,
    and the exact Jaccard similarity of the full sets decides. A large neighbourhood is dealt into tiles of bounded size
@@ -49,6 +50,19 @@ def least_shared(similarity: float, k: int = K, miss: float = MISS) -> int:
     return k
 
 
+def shared_by_size(percent: int, k: int = K) -> list[int]:
+    """For sets of 0 to ``k`` shingles, the least number of retained values that they share with a linked partner. A partner of
+    m > k shingles retains k of them, and all its m - common others may be among those."""
+    out = [0]
+    for n in range(1, k + 1):
+        least = -(-n * percent // 100)
+        for m in range(k + 1, 100 * n // percent + 1):
+            common = -(-percent * (n + m) // (100 + percent))
+            least = min(least, common - (m - k))
+        out.append(max(1, least))
+    return out
+
+
 def row_id() -> Column:
     """doc_id, or for null a stand-in from the text."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(STAND_IN) + F.xxhash64("text").bitwiseAND(F.lit(STAND_IN - 1)))
@@ -84,7 +98,7 @@ def neighbourhoods(classes: DataFrame, percent: int) -> DataFrame:
     """node, component of classes (node, n_shingles, sketch) that share a retained value among their rarest."""
     need = least_shared(percent / 100)
     size = F.size("sketch")
-    need_of = F.when(F.col("n_shingles") > K, F.lit(need)).otherwise(F.ceil(size * percent / 100.0))
+    need_of = F.when(F.col("n_shingles") > K, F.lit(need)).otherwise(F.get(F.array(*map(F.lit, shared_by_size(percent))), size))
     rows = classes.select("node", (size - need_of + 1).cast("int").alias("prefix"), size.alias("size"), F.explode("sketch").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "value")
@@ -125,7 +139,7 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
             i = parent[i]
         return i
 
-    least = np.where(size > K, need, -(-percent * np.minimum(size, K) // 100))
+    least = np.where(size > K, need, np.array(shared_by_size(percent))[np.minimum(size, K)])
     for i in range(len(sets)):
         at = np.searchsorted(values, kept[i])
         count = np.bincount(np.concatenate([owner[a:b] for a, b in spans[at]]), minlength=len(sets))
