@@ -140,6 +140,14 @@ def reconcile(spark, sf_dir):
     return both.select(F.coalesce("u", "doc_id").alias("dbid"), F.when(c("u").isNull(), "missing").otherwise("extra").alias("state"))
 
 
+@query("SELECT coalesce(e.u, d.doc_id) AS dbid, CASE WHEN e.u IS NULL THEN 'missing' ELSE 'extra' END AS state FROM (SELECT DISTINCT user_id + 500 AS u FROM events) e FULL JOIN documents d ON e.u = d.doc_id WHERE e.u IS NULL OR d.doc_id IS NULL")
+def reconcile_all(spark, sf_dir):
+    """All documents against the ids of the log; ``reconcile`` and its SQL stop at document 600."""
+    held = changes(spark, sf_dir).select((c("dbid") + 500).alias("u")).distinct()
+    both = held.join(documents(spark, sf_dir).select("doc_id"), c("u") == c("doc_id"), "full").where("u is null or doc_id is null")
+    return both.select(F.coalesce("u", "doc_id").alias("dbid"), F.when(c("u").isNull(), "missing").otherwise("extra").alias("state"))
+
+
 @query("SELECT round(regr_slope(n, s), 6) AS rate, count(*) AS samples FROM (SELECT epoch(date_trunc('day', ts)) / 86400.0 AS s, count(*)::DOUBLE AS n FROM events GROUP BY 1)")
 def progress_rate(spark, sf_dir):
     days = changes(spark, sf_dir).groupBy((F.unix_timestamp(F.date_trunc("day", "commit")) / 86400.0).alias("s")).agg(F.count("*").cast("double").alias("n"))
