@@ -8,28 +8,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.places import checkpoint, positions  # noqa: F401
+
 #: A word is a run of anything but these ASCII blanks; ``bytes.split()`` splits on exactly the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a task keeps hashes of before it starts afresh.
 MOST_CODES = 1_000_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Spark deletes the files when no plan refers to them any more. Only where the setting is absent (tests) a local
-    folder is taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder in the shared checkpoint directory for files that an operator writes."""
     sc = spark.sparkContext
@@ -131,19 +120,6 @@ def rows_where(docs: DataFrame, fine: Callable[[list[str | None]], list[bool]])
     return docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, docs.schema)
 
 
-def positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
-    """``df`` with the 0-based place of each row in the given order.
-
-    Rows are dealt by range and numbered within partitions; only one count for each partition meets in one place.
-    """
-    dealt = checkpoint(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sums = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__row", within).join(sums, "__part").withColumn(name, F.col("__row") - 1 + F.col("__before")).drop("__part", "__row", "__before")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src, dst long): node, component (its smallest node).
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .places import positions
 
 
 def bm25(nodes: DataFrame, key: str, held: Column, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -61,8 +62,8 @@ def rerank(scored: DataFrame, second: DataFrame, key: str, docs: int = 200, weig
     both = head.select(key, score.alias("score"), "__head").unionByName(rest.select(key, "score", "__head"))
     raised = F.coalesce(F.array_position(F.array(*map(F.lit, elevated)), F.col(key)), F.lit(0)) if elevated else F.lit(0)
     both = both.withColumn("__raised", F.when(raised > 0, raised).otherwise(1 << 30))
-    place = F.row_number().over(Window.orderBy("__raised", F.desc("__head"), F.desc("score"), key))
-    return both.limit(1_000_000).select(key, "score", place.alias("place"))
+    placed = positions(both, F.col("__raised"), F.desc("__head"), F.desc("score"), F.col(key), name="place")
+    return placed.select(key, "score", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def recency(scored: DataFrame, at: Column, now: Column, decay: float = 3.16e-11, weight: float = 3.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sundew.operators import ranking
 from sundew.plans import catalog
 
 
@@ -10,3 +11,13 @@ def test_reconcile_all_sees_documents_from_600_on(spark, tmp_path):
     spark.range(1200).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.dbid: r.state for r in catalog.queries()["reconcile_all"](spark, str(tmp_path)).collect()}
     assert got == {i: "missing" for i in range(1200) if i not in (550, 650, 1100)} | {5500: "extra"}
+
+
+def test_rerank_places_more_than_a_million_rows(spark):
+    n = 1_000_500
+    scored = spark.range(n, numPartitions=4).selectExpr("id AS k", "double(id % 1000) AS score")
+    second = spark.createDataFrame([(999, 5.0)], "k long, score double")
+    made = ranking.rerank(scored, second, "k", docs=3, elevated=[7])
+    got = made.selectExpr("count(*) AS n", "count(DISTINCT place) AS places", "max(place) AS last").first()
+    assert tuple(got) == (n, n, n)
+    assert [r.k for r in made.where("place <= 5").orderBy("place").collect()] == [7, 999, 1999, 2999, 3999]
