@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import closest, tokens
 from ..operators import facets as C
 from ..operators import ranking as R
+from ..operators.places import positions
 from ..sources.content import changes, delete, hierarchy, latest, merge_fields, nodes, table, upsert
 from ..streaming import tracker as S
 from .registry import D, TREE, query
@@ -171,6 +172,23 @@ def sort_nulls(spark, sf_dir):
     return _placed(d.orderBy(c("quality").asc_nulls_first(), "doc_id").limit(700), "doc_id", c("quality").asc_nulls_first(), c("doc_id"))
 
 
+def _places(df, key, *order):
+    return positions(df, *order, name="place").select(key, (c("place") + 1).alias("place"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
+def sort_multi_all(spark, sf_dir):
+    """The place of every order; ``sort_multi`` and its SQL stop at 100."""
+    return _places(orders(spark, sf_dir), "o_orderkey", c("o_orderpriority"), F.desc("o_totalprice"), c("o_orderkey"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY quality ASC NULLS FIRST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
+def sort_nulls_all(spark, sf_dir):
+    """The place of every document, unlabelled ones first; ``sort_nulls`` and its SQL stop at 700."""
+    d = documents(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return _places(d, "doc_id", c("quality").asc_nulls_first(), c("doc_id"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 20 LIMIT 10")
 def page(spark, sf_dir):
     return R.page(orders(spark, sf_dir), F.desc("o_totalprice"), "o_orderkey", start=20, rows=10).select("o_orderkey", "o_totalprice")

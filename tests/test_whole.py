@@ -21,3 +21,13 @@ def test_rerank_places_more_than_a_million_rows(spark):
     got = made.selectExpr("count(*) AS n", "count(DISTINCT place) AS places", "max(place) AS last").first()
     assert tuple(got) == (n, n, n)
     assert [r.k for r in made.where("place <= 5").orderBy("place").collect()] == [7, 999, 1999, 2999, 3999]
+
+
+def test_sorts_place_every_row(spark, tmp_path):
+    spark.range(1500).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1000, 1500).selectExpr("id AS doc_id", "(1499 - id) DIV 100 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "string(id % 3) AS o_orderpriority", "double(id % 7) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    nulls = {r.doc_id: r.place for r in catalog.queries()["sort_nulls_all"](spark, str(tmp_path)).collect()}
+    assert nulls == {i: n for n, i in enumerate([*range(1000), *sorted(range(1000, 1500), key=lambda i: ((1499 - i) // 100, i))], 1)}
+    multi = {r.o_orderkey: r.place for r in catalog.queries()["sort_multi_all"](spark, str(tmp_path)).collect()}
+    assert multi == {i: n for n, i in enumerate(sorted(range(300), key=lambda i: (str(i % 3), -(i % 7), i)), 1)}
