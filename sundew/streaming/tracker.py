@@ -83,9 +83,9 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("tx"), F.col("ts").cast("timestamp").alias("commit"), F.col("user_id").alias("dbid"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("what"), "event_type", "value")
 
 
-def follow(stream: DataFrame, folder: str, known_late: str = "1 hour") -> DataFrame:
-    """Runs the tracker until the log is used up; returns the newest change of each node. Transactions seen before within
-    the retention are dropped by state; each batch is a new version of the table, so a failed batch leaves the old one."""
+def follow(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs the tracker until the log is used up; returns the newest change of each node. Transactions may come in any order
+    and again, as the newest change wins; each batch is a new version of the table, so a failed batch leaves the old one."""
     spark = stream.sparkSession
     version = {"now": -1}
 
@@ -96,8 +96,7 @@ def follow(stream: DataFrame, folder: str, known_late: str = "1 hour") -> DataFr
         latest(newest, "dbid", F.desc("commit"), F.desc("tx")).write.mode("overwrite").parquet(f"{folder}/nodes/{number}")
         version["now"] = number
 
-    fresh = stream.withWatermark("commit", known_late).dropDuplicatesWithinWatermark(["tx"])
-    query = fresh.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/nodes/{version['now']}") if version["now"] >= 0 else spark.createDataFrame([], stream.schema)
 

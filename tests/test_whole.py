@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from datetime import datetime, timedelta
+from pathlib import Path
+
 from sundew.operators import ranking
 from sundew.plans import catalog
 
@@ -31,3 +35,21 @@ def test_sorts_place_every_row(spark, tmp_path):
     assert nulls == {i: n for n, i in enumerate([*range(1000), *sorted(range(1000, 1500), key=lambda i: ((1499 - i) // 100, i))], 1)}
     multi = {r.o_orderkey: r.place for r in catalog.queries()["sort_multi_all"](spark, str(tmp_path)).collect()}
     assert multi == {i: n for n, i in enumerate(sorted(range(300), key=lambda i: (str(i % 3), -(i % 7), i)), 1)}
+
+
+def test_stream_takes_files_in_any_order(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    parts = [[(100 * f + i, day + timedelta(days=f, minutes=i), i + 15 * f, "error" if (i + f) % 6 == 0 else "view", float(f)) for i in range(20)] for f in range(12)]
+    parts[0].append(parts[3][4])  # a transaction again
+    for place, f in enumerate((11, 2, 8, 1, 9, 10, 4, 6, 0, 3, 5, 7)):
+        spark.createDataFrame(parts[f], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/made{f}")
+        (made,) = Path(f"{tmp_path}/made{f}").glob("*.parquet")
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        made.rename(tmp_path / "events.parquet" / f"part{f}.parquet")
+        os.utime(tmp_path / "events.parquet" / f"part{f}.parquet", (1_700_000_000 + 60 * place,) * 2)
+    got = sorted(tuple(r) for r in catalog.queries()["track_stream"](spark, str(tmp_path)).collect())
+    assert got == sorted(tuple(r) for r in catalog.queries()["track_upsert"](spark, str(tmp_path)).collect())
+    newest = {}
+    for e in sorted((e for p in parts for e in p), key=lambda e: (e[1], e[0])):
+        newest[e[2]] = e
+    assert got == sorted((k, e[0], e[4]) for k, e in newest.items() if e[3] != "error")
