@@ -77,12 +77,15 @@ def grouped_facet(df: DataFrame, value: Column, groups: dict[str, str], ungroupe
 
 
 def size_histogram(df: DataFrame, value: Column, buckets: int = 10) -> DataFrame:
-    """bucket, low, high, cnt of equally filled buckets."""
+    """bucket, low, high, cnt of equally filled buckets, as far as rows of one size, which share a bucket, allow: that of a
+    size is the one where its first row falls when rows are dealt by size."""
     from pyspark.sql import Window
 
-    tile = F.ntile(buckets).over(Window.orderBy("v"))
     counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))  # as many rows as distinct sizes
-    return counts.withColumn("bucket", tile).groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("cnt"))
+    before = F.sum("n").over(Window.orderBy("v")) - F.col("n")
+    placed = counts.select("v", "n", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    bucket = F.expr(f"cast(before * {buckets} div total + 1 as int)")
+    return placed.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("cnt"))
 
 
 def stats(df: DataFrame, value: Column, by: list[str] | None = None, numeric: bool = True) -> DataFrame:

@@ -80,7 +80,7 @@ def facet_mimetype_group(spark, sf_dir):
     return C.grouped_facet(documents(spark, sf_dir), c("source"), {"src1": "web", "src2": "web", "src3": "books"})
 
 
-@query()
+@query("WITH s AS (SELECT n_chars AS v, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1), p AS (SELECT v, n, sum(n) OVER (ORDER BY v) - n AS before, sum(n) OVER () AS total FROM s) SELECT (before * 10 // total + 1)::INT AS bucket, min(v) AS low, max(v) AS high, sum(n)::BIGINT AS cnt FROM p GROUP BY 1")
 def facet_size_hist(spark, sf_dir):
     return C.size_histogram(documents(spark, sf_dir), c("n_chars"))
 

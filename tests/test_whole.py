@@ -6,7 +6,9 @@ import os
 from datetime import datetime, timedelta
 from pathlib import Path
 
-from sundew.operators import ranking
+from pyspark.sql import functions as F
+
+from sundew.operators import facets, ranking
 from sundew.plans import catalog
 
 
@@ -53,3 +55,10 @@ def test_stream_takes_files_in_any_order(spark, tmp_path):
     for e in sorted((e for p in parts for e in p), key=lambda e: (e[1], e[0])):
         newest[e[2]] = e
     assert got == sorted((k, e[0], e[4]) for k, e in newest.items() if e[3] != "error")
+
+
+def test_size_buckets_are_filled_by_rows(spark):
+    sizes = [(v,) for v in [5] * 3000 + list(range(100, 7100))] + [(None,)]
+    made = facets.size_histogram(spark.createDataFrame(sizes, "n long"), F.col("n"))
+    got = {r.bucket: (r.low, r.high, r.cnt) for r in made.collect()}
+    assert got == {1: (5, 5, 3000)} | {b: (100 + 1000 * (b - 4), 1099 + 1000 * (b - 4), 1000) for b in range(4, 11)}
