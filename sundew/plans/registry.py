@@ -15,9 +15,11 @@ TREE = "WITH h AS (SELECT o_orderkey, o_custkey, '/' || r_name || '/' || n_name
 
 
 def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name."""
+    """Registers a function of (spark, sf_dir) under its name, which must be new."""
 
     def keep(f: Callable) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql

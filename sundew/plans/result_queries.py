@@ -150,7 +150,8 @@ def reconcile_all(spark, sf_dir):
 
 
 @query("SELECT round(regr_slope(n, s), 6) AS rate, count(*) AS samples FROM (SELECT epoch(date_trunc('day', ts)) / 86400.0 AS s, count(*)::DOUBLE AS n FROM events GROUP BY 1)")
-def progress_rate(spark, sf_dir):
+def progress_slope(spark, sf_dir):
+    """Slope of the events a day."""
     days = changes(spark, sf_dir).groupBy((F.unix_timestamp(F.date_trunc("day", "commit")) / 86400.0).alias("s")).agg(F.count("*").cast("double").alias("n"))
     return days.agg(F.round(F.regr_slope("n", "s"), 6).alias("rate"), F.count("*").alias("samples"))
 

@@ -6,10 +6,11 @@ import os
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from sundew.operators import facets, ranking
-from sundew.plans import catalog
+from sundew.plans import catalog, registry
 
 
 def test_reconcile_all_sees_documents_from_600_on(spark, tmp_path):
@@ -62,3 +63,9 @@ def test_size_buckets_are_filled_by_rows(spark):
     made = facets.size_histogram(spark.createDataFrame(sizes, "n long"), F.col("n"))
     got = {r.bucket: (r.low, r.high, r.cnt) for r in made.collect()}
     assert got == {1: (5, 5, 3000)} | {b: (100 + 1000 * (b - 4), 1099 + 1000 * (b - 4), 1000) for b in range(4, 11)}
+
+
+def test_names_of_queries_are_refused_twice():
+    assert {"progress_slope", "progress_rate"} <= set(catalog.oracle_sql())
+    with pytest.raises(ValueError, match="progress_rate"):
+        registry.query("SELECT 1")(catalog.queries()["progress_rate"])
