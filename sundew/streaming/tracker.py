@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.places import shared_root
 from ..sources.content import changes, latest, table
 
 
@@ -102,10 +103,7 @@ def follow(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def working_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracker-")
-    return f"{root}/tracker-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/tracker-{uuid.uuid4().hex}"
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
