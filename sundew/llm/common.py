@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.places import checkpoint, positions  # noqa: F401
+from ..operators.places import checkpoint, positions, shared_root  # noqa: F401
 
 #: A word is a run of anything but these ASCII blanks; ``bytes.split()`` splits on exactly the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words that a task keeps hashes of before it starts afresh.
-MOST_CODES = 1_000_000
+#: Words that a task remembers something of before it starts afresh, and the longest of them: some 16 MB in all.
+MOST_CODES, LONG_WORD = 100_000, 64
+#: Bytes of text that a task turns into Python objects at a time; a longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder in the shared checkpoint directory for files that an operator writes."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{name}"
+    return f"{shared_root(spark)}/{name}"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +35,43 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut where a text column has filled ``SLICE_BYTES``: rows may hold texts of any length."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        full = (np.cumsum(size) - size) // SLICE_BYTES
+        cuts = [0, *(np.nonzero(np.diff(full))[0] + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def sampled_texts(rows: DataFrame, most: int, by: str | None = None) -> list:
+    """``most`` distinct texts of ``rows`` (text, and the column ``by``), for each value of ``by``, all where there are fewer;
+    as rows (text, by, n), n being the rows that hold the text. Texts are chosen by their hash, so a text that a third of all
+    rows repeat is drawn once, and the choice does not depend on how rows are dealt. Null texts take no part."""
+    keys = [by] if by else []
+    hashed = rows.where("text is not null").select("text", *keys, F.xxhash64(F.lit(7), "text").alias("__h"))
+    found = hashed.groupBy(*keys).agg(F.approx_count_distinct("__h", 0.02).alias("n")).collect()  # one row for each value of ``by``
+    share = {r[by] if by else None: min(1.0, 1.5 * most / max(r["n"], 1)) for r in found}
+    if not share:
+        return []
+    part = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col(by)] if by else F.lit(share[None])
+    some = hashed.where(F.pmod("__h", F.lit(1 << 30)) < part * (1 << 30))  # half as many again as asked for
+    distinct = some.groupBy("__h", *keys).agg(F.min("text").alias("text"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.pmod("__h", F.lit(1 << 30)), "__h"))
+    return distinct.withColumn("__place", place).where(F.col("__place") <= most).select("text", *keys, "n").collect()
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered per task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_CODES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MOST_CODES:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, found: list[bytes]) -> np.ndarray:
@@ -112,7 +141,7 @@ def rows_where(docs: DataFrame, fine: Callable[[list[str | None]], list[bool]])
     """The rows of ``docs``, with all their columns, whose ``text`` is judged fine, each by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, -1):
             last = batch.num_columns - 1
             kept = batch.filter(pa.array(fine(batch.column(last).to_pylist()), pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:last], batch.schema.names[:last])

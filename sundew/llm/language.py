@@ -6,9 +6,10 @@ share there if it followed before, else the escape's share and on to the next sh
 statistics are frozen after learning, so the code length of a byte depends on it and the ``ORDER`` bytes before it only;
 texts are scored by sorting their (ORDER + 1)-byte strings and adding up exact code lengths of the distinct ones.
 
-The language with the shortest code wins; the score is its posterior under equal priors. Trees are learned from a sample
-of about ``SAMPLE`` documents of each language, chosen by a hash of the id; whole texts are used for learning and scoring,
-lower-cased. Languages are the learned labels; the model has to hold a tree for each.
+The language with the shortest code wins; the score is its posterior under equal priors. Trees are learned from ``SAMPLE``
+distinct texts of each language, chosen by their hash; whole texts are used for learning and scoring, lower-cased. Languages
+are the learned labels; the model holds a tree for each, and more than ``MODEL_BYTES`` of them are an error. Scoring takes
+texts in pieces of ``PIECE`` bytes with the bytes before them as context, so a text of any length needs little memory.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null ``lang`` or ``doc_id`` are not learned
 from. Ties go to the language that is first in code-point order. With no labelled row everything is ``und``.
@@ -17,24 +18,46 @@ from. Ties go to the language that is first in code-point order. With no labelle
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, rows_where
+from .common import read_table, rows_where, sampled_texts, slices
 
 ORDER = 4
-#: Documents of each language that trees are learned from, in expectation.
-SAMPLE = 500
+#: Distinct texts of each language that trees are learned from; bytes of all trees at most.
+SAMPLE, MODEL_BYTES = 500, 512 << 20
 #: Bytes that are scored at a time; distinct strings whose code lengths a task remembers.
-PIECE, REMEMBER = 4_000_000, 1_500_000
+PIECE, REMEMBER = 500_000, 250_000
 
 
-def strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER + 1 bytes that end at each byte of each text, as numbers, and the text's number. Zeros stand before a text."""
-    raw = [bytes(ORDER) + t.lower().encode("utf-8", "replace") for t in texts]
+def raw(text: str) -> bytes:
+    """The bytes that are coded, after the zeros that stand before a text."""
+    return bytes(ORDER) + text.lower().encode("utf-8", "replace")
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Numbers of texts and their bytes, about PIECE bytes at a time; a longer text goes on in the next piece, the ORDER bytes
+    before it standing in front."""
+    owner, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        data = raw(text)
+        for a in range(ORDER, max(len(data), ORDER + 1), PIECE):
+            owner.append(i)
+            held.append(data[a - ORDER : a + PIECE])
+            size += len(held[-1])
+            if size >= PIECE:
+                yield owner, held
+                owner, held, size = [], [], 0
+    if held:
+        yield owner, held
+
+
+def strings(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER + 1 bytes that end at each byte but the first ORDER of each, as numbers, and the number of its bytes."""
     lengths = np.array([len(r) for r in raw], np.int64)
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     n = len(flat)
@@ -45,14 +68,14 @@ def strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths) - lengths
     for i in range(ORDER):
         real[starts + i] = False
-    return key[real], np.repeat(np.arange(len(texts)), lengths - ORDER)
+    return key[real], np.repeat(np.arange(len(raw)), lengths - ORDER)
 
 
 class Tree:
     """Frozen statistics of one language."""
 
     def __init__(self, texts: list[str]):
-        keys, counts = np.unique(strings(texts)[0], return_counts=True)
+        keys, counts = np.unique(strings([raw(t) for t in texts])[0], return_counts=True)
         self.levels = []
         for order in range(ORDER + 1):
             grams, which = np.unique(keys & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
@@ -85,6 +108,9 @@ class Model:
         self.trees = [Tree(samples[x]) for x in self.languages]
         self.known, self.cost = np.zeros(0, np.uint64), np.zeros((0, len(self.trees)))
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes for t in self.trees for level in t.levels for x in level)
+
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Code lengths (string, language) of sorted distinct strings; those met before are remembered."""
         if len(self.known) > REMEMBER:
@@ -102,52 +128,45 @@ class Model:
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths (text, language)."""
         out = np.zeros((len(texts), len(self.trees)))
-        keys, owner = strings(texts)
-        packed = np.sort((keys << np.uint64(24)) | owner.astype(np.uint64))  # 40 bits of string, 24 of text
-        edge = np.nonzero(np.append(True, packed[1:] != packed[:-1]))[0] if len(packed) else np.zeros(0, np.int64)
-        count = np.diff(np.append(edge, len(packed)))
-        pair = packed[edge]
-        string, text = pair >> np.uint64(24), (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
-        first = np.nonzero(np.append(True, string[1:] != string[:-1]))[0] if len(string) else np.zeros(0, np.int64)
-        cost = self.costs(string[first])
-        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(string))))
-        for i in range(len(self.trees)):
-            out[:, i] = np.bincount(text, weights=count * cost[which, i], minlength=len(texts))
+        for owner, data in pieces(texts):
+            keys, place = strings(data)
+            packed = np.sort((keys << np.uint64(24)) | place.astype(np.uint64))  # 40 bits of string, 24 of its place in the piece
+            if not len(packed):
+                continue
+            edge = np.nonzero(np.append(True, packed[1:] != packed[:-1]))[0]
+            count = np.diff(np.append(edge, len(packed)))
+            string, text = packed[edge] >> np.uint64(24), np.array(owner)[(packed[edge] & np.uint64((1 << 24) - 1)).astype(np.int64)]
+            first = np.nonzero(np.append(True, string[1:] != string[:-1]))[0]
+            cost = self.costs(string[first])
+            which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(string))))
+            for i in range(len(self.trees)):
+                out[:, i] += np.bincount(text, weights=count * cost[which, i], minlength=len(texts))
         return out
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from rows (doc_id, text, lang); about ``sample`` of each language, all where there are fewer."""
-    rows = docs.where("doc_id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each label
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    """A model from rows (doc_id, text, lang): ``sample`` distinct texts of each language, all where there are fewer."""
+    rows = docs.where("doc_id is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     samples: dict[str, list[str]] = {}
-    for r in chosen.select("lang", "text", "doc_id").toLocalIterator():  # bounded by the sample
+    for r in sampled_texts(rows, sample, "lang"):
         samples.setdefault(r["lang"], []).append(r["text"])
-    return Model(samples) if samples else None
+    model = Model(samples) if samples else None
+    if model and model.nbytes() > MODEL_BYTES:
+        raise ValueError(f"{len(samples)} labels make a model of {model.nbytes()} bytes, which every task would hold")
+    return model
 
 
 def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[float | None]]:
     """Language, score and bits per byte of each text."""
     fine = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
     pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-    size, piece, pieces = 0, [], []
-    for i in fine:
-        piece.append(i)
-        size += len(texts[i])
-        if size >= PIECE:
-            pieces.append(piece)
-            size, piece = 0, []
-    for piece in [*pieces, piece] if piece else pieces:
-        bits = model.bits([texts[i] for i in piece])
+    if fine:
+        bits = model.bits([texts[i] for i in fine])
         best = bits.argmin(1)
         share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-        for row, i in enumerate(piece):
+        for row, i in enumerate(fine):
             pred[i], score[i] = model.languages[best[row]], share[row]
-            rate[i] = bits[row, best[row]] / len(texts[i].lower().encode("utf-8", "replace"))
+            rate[i] = bits[row, best[row]] / (len(raw(texts[i])) - ORDER)
     return pred, score, rate
 
 
@@ -156,7 +175,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             pred, score, rate = judge(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 

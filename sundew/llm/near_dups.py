@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, by_sorted_key, checkpoint, components, read_table, shingle_set, words
+from .common import WORD, WordHashes, by_sorted_key, checkpoint, components, read_table, shingle_set, slices, words
 
 #: Values that a sketch retains.
 K = 32
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches, 3):
             n, same, sketch = [], [], []
             for text in batch.column(3).to_pylist():
                 found = shingle_set(hashes.of(words(text)), width)
@@ -170,7 +170,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
 
     def sets_of(batches):
         hashes, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in slices(batches, 5):
             at, found = [], []
             for i, (node, same, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "same", "text")), strict=True)):
                 if node in seen:  # an exact copy of the row

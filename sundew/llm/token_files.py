@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_CODES, checkpoint, read_table, shared_folder
+from .common import LONG_WORD, checkpoint, read_table, shared_folder, slices
 
 #: Ids in one block at most, but for a longer document, which is a block of its own.
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
+#: Words whose ids a worker keeps before it starts afresh, some 70 MB: tokenizing a word costs far more than finding it.
+MOST_WORDS = 400_000
 BLOCKS = "shard int, block int, start long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 #: Lengths of the four values that a control byte announces.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -74,7 +76,7 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.first, self.count, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -84,9 +86,9 @@ class WordTokens(dict):
         return code
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self) > MOST_CODES:
+        if len(self) > MOST_WORDS or len(self.flat) > 8 * MOST_WORDS or self.letters > LONG_WORD * MOST_WORDS:
             self.clear()
-            self.flat, self.first, self.count = self.flat[:0], self.first[:0], self.count[:0]
+            self.flat, self.first, self.count, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         codes = []
         for text in texts:
             found = text.encode("utf-8", "replace").split() if text else []
@@ -94,6 +96,7 @@ class WordTokens(dict):
         if len(self) > len(self.first):
             fresh = [w.decode() for w in islice(self, len(self.first), None)]
             flat, first, count = self._tokenize(fresh)
+            self.letters += sum(map(len, fresh))
             self.first = np.concatenate([self.first, len(self.flat) + first])
             self.flat = np.concatenate([self.flat, flat])
             self.count = np.concatenate([self.count, count])
@@ -132,29 +135,23 @@ class WordTokens(dict):
 
 @lru_cache(maxsize=1)
 def _vocabulary(path: str) -> WordTokens:
-    """A worker keeps its words from task to task."""
+    """A worker keeps its words from task to task, as far as ``MOST_WORDS`` allow."""
     return WordTokens(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 2048) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, most):
-        yield batch.slice(a, most)
-
-
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n long, ids binary (zstd over little-endian 32-bit ids, the end id included)."""
 
     def run(batches):
         vocabulary = _vocabulary(path)
         press = zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            for batch in _slices(whole):
-                n, ids = [], []
-                for got in vocabulary.encode_many(batch.column(1).to_pylist()):
-                    got = np.append(got, np.uint32(end_id)).astype("<u4")
-                    n.append(len(got))
-                    ids.append(press.compress(got.view(np.uint8).reshape(-1, 4).T.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+        for batch in slices(batches, 1):
+            n, ids = [], []
+            for got in vocabulary.encode_many(batch.column(1).to_pylist()):
+                got = np.append(got, np.uint32(end_id)).astype("<u4")
+                n.append(len(got))
+                ids.append(press.compress(got.view(np.uint8).reshape(-1, 4).T.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -165,13 +162,24 @@ def _ids(blob: bytes) -> np.ndarray:
 
 
 def _counted(batches):
-    total = np.zeros(0, np.int64)
+    total, held, n = np.zeros(0, np.int64), [], 0
+
+    def add():
+        nonlocal total, n
+        got = np.bincount(np.concatenate(held)) if held else total[:0]
+        if len(got) > len(total):
+            total, got = got, total
+        total[: len(got)] += got
+        held.clear()
+        n = 0
+
     for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            got = np.bincount(_ids(blob))
-            if len(got) > len(total):
-                total, got = got, total
-            total[: len(got)] += got
+        for blob in batch.column(0):
+            held.append(_ids(blob.as_py()))
+            n += len(held[-1])
+            if n > BLOCK_IDS:
+                add()
+    add()
     at = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -207,8 +215,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
         for batch in batches:
-            for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = _ids(blob)
+            for doc_id, blob in zip(batch.column(0), batch.column(1), strict=True):
+                doc_id, ids = doc_id.as_py(), _ids(blob.as_py())
                 if held and held + len(ids) > BLOCK_IDS:
                     yield out()
                 docs_.append(doc_id)
@@ -234,7 +242,8 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a block at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 got = table.value[unpack(row["control"], row["data"], row["n_ids"])]
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
