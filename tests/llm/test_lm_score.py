@@ -82,6 +82,17 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert abs(x.score - score) < 0.01 * max(1, abs(score))  # EM sees likelihoods in cells
 
 
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH_TOKENS", 5000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lost = spark.range(1000).withColumnRenamed("id", "doc_id")
+    forms = [docs, docs.repartition("doc_id"), docs.repartition(7), docs.join(lost, "doc_id", "left_semi")]
+    got = [sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm_score.lm_scores(d).collect()) for d in forms]
+    for other in got[1:]:
+        assert [x[:3] for x in other] == [x[:3] for x in got[0]]
+        assert all(abs(a[3] - b[3]) < 0.001 * max(1, abs(a[3])) for a, b in zip(other, got[0], strict=True))
+
+
 def test_model_beats_its_base_on_held_out_texts(spark, sf_dir):
     rows = [x for x in lm_score.op4_deleted_interpolation(spark, sf_dir).collect() if x.held_out]
     assert sum(x.score for x in rows) > sum(x.base_score for x in rows)
