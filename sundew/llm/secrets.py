@@ -6,7 +6,8 @@ texts. Postings are intersected by counting, for each document and alternative,
 an alternative's is a candidate of the rule, and only candidates are verified with the expression. A rule with a skeleton
 that has no trigram, such as runs of hexadecimal digits, scans every document.
 
-Spans are code-point offsets: a text is split at the matches, and the lengths of gaps and matches add up.
+Spans are code-point offsets: a text is split at the matches, and the lengths of gaps and matches add up. Up to ``FEW`` candidates
+are broadcast and no text is shuffled; more of them are joined by key.
 
 Nulls: a null text is empty; null ids are ids like any other. Rows with the same id and text give the same result each. Empty tables give
 empty results. Columns besides doc_id and text do not matter.
@@ -21,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from ..functions.text import bound
+from .common import checkpoint, read_table
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,8 @@ RULES = BASE + MORE
 #: Skeletons of a part of an expression beyond which the part counts as a gap.
 MOST = 64
 GAP = "\0"
+#: Candidates up to this number are sent to the texts; beyond it texts and candidates meet by a shuffle.
+FEW = 200_000
 
 
 def _skeletons(items) -> set[str]:
@@ -104,31 +108,48 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("doc_id", "text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
+def running(lengths: Column) -> Column:
+    """The running sums of an array of numbers. An array grows by being copied, so sums run inside stretches of about the
+    square root of its size, and then over the stretches."""
+
+    def sums(part: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(part, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+
+    def whole(v: Column) -> Column:
+        return bound(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda n: bound(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: sums(F.slice(v, k * n + 1, n))), joined))
+
+    def joined(parts: Column) -> Column:
+        ends = bound(F.transform(parts, lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0))), sums)
+        return bound(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.when(i > 0, F.get(e, i - 1)).otherwise(0)))))
+
+    return bound(lengths, whole)
+
+
 def spans(number: int, rule: Rule) -> Column:
     """array<struct<start, kind, end>> of a rule's matches in the column text."""
     pattern = F.lit(rule.pattern)
-    found, gaps = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", rule.pattern, -1)
-    value = F.regexp_extract_all("text", pattern, F.lit(rule.group))
+    lengths = lambda column: F.transform(column, lambda x: F.length(x))
+    found, gaps = lengths(F.regexp_extract_all("text", pattern, F.lit(0))), lengths(F.split("text", rule.pattern, -1))
     kind = "array<struct<start:int,kind:int,end:int>>"
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(acc["gaps"], i))
-        end = start + F.length(F.element_at(acc["found"], i))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), acc["gaps"].alias("gaps"), acc["found"].alias("found"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(f: Column) -> Column:
+        ends = running(F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda x, gap: x + gap))
+        return F.zip_with(ends, f, lambda end, n: F.struct((end - n).alias("start"), F.lit(number).alias("kind"), end.alias("end")))
 
-    begin = F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), found.alias("found"), F.array().cast(kind).alias("out"))
-    all_ = F.aggregate(F.sequence(F.lit(1), F.size(found)), begin, step, lambda acc: acc["out"])
+    all_ = bound(found, placed)
     if rule.least > 1:
-        all_ = F.filter(F.arrays_zip(all_.alias("span"), value.alias("value")), lambda x: F.length(x["value"]) >= rule.least)
-        all_ = F.transform(all_, lambda x: x["span"])
-    return F.when(F.regexp("text", pattern), all_).otherwise(F.array().cast(kind))
+        value = lengths(F.regexp_extract_all("text", pattern, F.lit(rule.group)))
+        all_ = F.filter(F.zip_with(all_, value, lambda span, n: F.when(n >= rule.least, span)), lambda span: span.isNotNull())
+    return F.when(F.regexp("text", pattern), all_.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans, array<struct<start, kind, end>> ordered by start and rule, of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    met = candidates(rows, rules).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    met = checkpoint(candidates(rows, rules)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    if met.count() <= FEW:  # a checked size: some 50 bytes each
+        met = F.broadcast(met)
     full = [n for n, r in enumerate(rules) if trigram_query(r.pattern) is None]
     keyed = rows.withColumn("__key", F.xxhash64("text"))
     joined = keyed.join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
