@@ -3,9 +3,11 @@
 Every source gets a share of the words by weight; a row is taken ``floor(r)`` times for sure and once more with
 probability ``r - floor(r)``, ``r`` being its source's target over its size. Which rows get the extra copy is drawn by the
 cube method (Deville and Tille, 2004): the vector of probabilities moves through the null space of the balancing
-constraints, here the numbers of documents and of words, until nearly all entries are 0 or 1. The flight runs in blocks of
-bounded size for each source, what a block leaves open (two rows at most) flies again with that of other blocks, and the
-last block of a source lands by giving up the document total first and the word total for its last row.
+constraints, here the numbers of documents and of words, until nearly all entries are 0 or 1. A move drives the longest open
+unit and lets all shorter ones of the block give way a little, so long units are settled while there is room and the shortest
+stay open. The flight runs in blocks of bounded size for each source, what a block leaves open (two units at most) flies again
+with that of other blocks, and the last block of a source lands: the document total is given up first, then the word total
+for its last unit, which is drawn. Every step keeps the expectation, so every unit keeps its probability.
 
 Nulls: a null text has size 0; a null source is a source of its own, after all others; a null ``doc_id`` is an id like any
 other. Rows alike in id, source and size are one unit and get the same number of copies. Empty input gives empty output.
@@ -18,10 +20,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.places import running_sums
 from .common import WORD, checkpoint, positions, read_table
 
 #: Units in one flight.
@@ -29,78 +33,90 @@ BLOCK = 1024
 EPS = 1e-9
 
 
-def _null_vector(m: list[float], s: list[float]) -> list[float]:
-    """A direction for three units that keeps both totals."""
-    u = [m[1] * s[2] - m[2] * s[1], m[2] * s[0] - m[0] * s[2], m[0] * s[1] - m[1] * s[0]]
-    if max(map(abs, u)) > EPS:
-        return u
-    return _null_pair(m, s) + [0.0]  # the rows are proportional
-
-
-def _null_pair(*rows: list[float]) -> list[float]:
-    for r in rows:
-        if abs(r[0]) + abs(r[1]) > EPS:
-            return [r[1], -r[0]]
-    return [1.0, 0.0]
-
-
-def _move(p: list[float], at: list[int], u: list[float], draw: float) -> list[int]:
-    """Moves p along u to one of the two faces it meets; returns the units that are still open."""
-    up = min(((1 - p[i]) / x if x > 0 else p[i] / -x) for i, x in zip(at, u, strict=True) if x)
-    down = min((p[i] / x if x > 0 else (1 - p[i]) / -x) for i, x in zip(at, u, strict=True) if x)
-    step = up if draw * (up + down) < down else -down
-    for i, x in zip(at, u, strict=True):
-        p[i] += step * x
-        if p[i] < EPS:
-            p[i] = 0.0
-        elif p[i] > 1 - EPS:
-            p[i] = 1.0
-    return [i for i in at if 0 < p[i] < 1]
-
-
-def fly(p: list[float], count: list[float], size: list[float], seed: int, land: bool) -> list[float]:
-    """The cube method's flight, and with ``land`` its landing, over one block. p: probabilities; the result has 0s and
-    1s, and without ``land`` up to two others."""
+def _plane(lead: int, rest: np.ndarray, p: np.ndarray, balance: np.ndarray) -> np.ndarray | None:
+    """How the units ``rest`` move when ``lead`` moves by 1 and the totals (rows of ``balance``) stay: each in proportion to
+    its room, and to a plane over its count and size. None where the totals leave no such move."""
+    room = np.minimum(p[rest], 1 - p[rest])
+    held = balance[:, rest]
+    plane = held * room
+    found = np.linalg.lstsq(plane @ held.T, -balance[:, lead], rcond=1e-12)[0]
+    move = found @ plane
+    missed = np.abs(held @ move + balance[:, lead])
+    return move if (missed <= 1e-7 * (1 + np.abs(balance[:, lead]))).all() else None
+
+
+def _split_move(lead: int, rest: np.ndarray, p: np.ndarray, balance: np.ndarray) -> np.ndarray | None:
+    """A move that keeps both totals and takes the same share of every unit's room: the longer ones against the lead, the
+    shorter ones with it."""
+    room = np.minimum(p[rest], 1 - p[rest])
+    g = room * (balance[1, rest] * balance[0, lead] - balance[0, rest] * balance[1, lead])
+    off = 2 * np.cumsum(g) - g.sum()
+    turn = np.nonzero(np.sign(off) != np.sign(-g.sum()))[0] if len(g) and g.sum() else []
+    if not len(turn) or not g[turn[0]]:
+        return None
+    k = turn[0]
+    w = np.where(np.arange(len(rest)) < k, 1.0, -1.0)
+    w[k] = (g.sum() - g[k] - 2 * g[:k].sum()) / g[k]
+    length = (w * room) @ balance[1, rest]
+    return -w * room * (balance[1, lead] / length) if length > 0 else None
+
+
+def _direction(lead: int, rest: np.ndarray, p: np.ndarray, balance: np.ndarray, land: bool) -> np.ndarray | None:
+    """The move that drives ``lead``: the first of those below that has room to settle it; where the block lands, a unit so
+    long that only giving up the document total leaves room does so. Without any room the first goes as far as it can."""
+    first = _plane(lead, rest, p, balance)
+    if len(balance) < 2 or first is None:
+        return first
+    room, far = np.minimum(p[rest], 1 - p[rest]), max(p[lead], 1 - p[lead])
+    makes = (lambda: first, lambda: _split_move(lead, rest, p, balance), lambda: -room * (balance[1, lead] / max(room @ balance[1, rest], 1e-300)))
+    for make in makes[: 2 + land]:
+        move = make()
+        if move is not None and (np.abs(move) * far <= room * (1 + 1e-9)).all():
+            return move
+    return first
+
+
+def fly(start: list[float], count: list[float], size: list[float], seed: int, land: bool) -> list[float]:
+    """The cube method's flight, and with ``land`` its landing, over one block, whose units come longest first. start:
+    probabilities; the result has 0s and 1s, and without ``land`` up to two others."""
     rng = np.random.default_rng(seed)
-    start = p
-    p, open_ = list(p), []
-    most = max(map(abs, size), default=1.0) or 1.0
-    size = [x / most for x in size]
-    top = max(map(abs, count), default=1.0) or 1.0
-    count = [x / top for x in count]
-    for i in range(len(p)):
-        if 0 < p[i] < 1:
-            open_.append(i)
-        while len(open_) == 3:
-            open_ = _move(p, open_, _null_vector([count[k] for k in open_], [size[k] for k in open_]), rng.random())
-    if land:
-        while len(open_) == 2:
-            open_ = _move(p, open_, _null_pair([size[k] for k in open_]), rng.random())
-        for i in open_:
-            p[i] = float(rng.random() < p[i])
-        _settle(p, start, size)
-    return p
-
-
-def _settle(p: list[float], start: list[float], size: list[float]) -> None:
-    """Ends the landing: a long last row may have left the word total half its length off, which single rows make up."""
-    drawn, z, free = np.array(p), np.array(size), (np.array(start) > 0) & (np.array(start) < 1)
-    off = float((z * (drawn - np.array(start))).sum())
-    for _ in range(64):
-        can = np.nonzero(free & (drawn == (1.0 if off > 0 else 0.0)))[0]
-        if not len(can):
-            break
-        best = can[np.argmin(np.abs(abs(off) - z[can]))]
-        if abs(abs(off) - z[best]) >= abs(off):
-            break
-        off += z[best] if off < 0 else -z[best]
-        drawn[best] = 1 - drawn[best]
-    p[:] = drawn.tolist()
+    p = np.array(start, float)
+    balance = np.array([count, size], float)
+    balance /= np.maximum(np.abs(balance).max(axis=1, initial=0.0), 1e-300)[:, None]
+    open_ = np.nonzero((p > EPS) & (p < 1 - EPS))[0]
+    keep = 2  # totals that moves keep: words and documents, then words, then none
+    while len(open_):
+        rows = balance[2 - keep :]
+        move = _direction(open_[0], open_[1:], p, rows, land) if keep else np.zeros(len(open_) - 1)
+        if move is None:
+            # The longest cannot move on its own; the others may still, down to as many as there are totals.
+            if len(open_) > keep:
+                move, last = next(((m, i) for i in range(1, len(open_) - keep + 1) if (m := _direction(open_[i], open_[i + 1 :], p, rows, land)) is not None), (None, 0))
+                if move is not None:
+                    move = np.concatenate([np.zeros(last - 1), [1.0], move])
+                    lead = 0.0
+            if move is None:
+                if not land:
+                    break
+                keep -= 1
+                continue
+        else:
+            lead = 1.0
+        u = np.concatenate([[lead], move])
+        at = p[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - at) / u, np.where(u < 0, -at / u, np.inf)).min()
+            down = np.where(u > 0, at / u, np.where(u < 0, (at - 1) / u, np.inf)).min()
+        p[open_] = at + (up if rng.random() * (up + down) < down else -down) * u
+        p[open_] = np.where(p[open_] < EPS, 0.0, np.where(p[open_] > 1 - EPS, 1.0, p[open_]))
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+    return p.tolist()
 
 
 def _flight(level: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__size", "descending"), ("__order", "ascending")])  # small ones come last, and so land
+        words = pc.multiply(table.column("__size"), table.column("__n"))
+        table = table.take(pc.sort_indices(pa.table({"words": words, "order": table.column("__order")}), [("words", "descending"), ("order", "ascending")]))
         first = table.slice(0, 1).to_pylist()[0]
         key = f"{seed}:{level}:{first['__source']}:{first['__block']}"
         n = table.column("__n").to_numpy().astype(float)
@@ -112,20 +128,21 @@ def _flight(level: int, seed: int):
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """Adds ``__target`` to (``__source``, ``__source_size``): ``share`` of all sizes dealt by weight, no target above
-    ``cap`` times its source. Each round is one sum over the sources; only the level goes through the driver."""
+    ``cap`` times its source. Sources fill up in the order of cap over weight; running sums over that order say where
+    filling stops, so one pass finds the level, however many sources reach their caps."""
     ranked = checkpoint(positions(sources, F.col("__source").asc_nulls_last(), name="__rank"))
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("__rank") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("__weight", weight).withColumn("__most", F.lit(float(cap)) * F.col("__source_size"))
-    total = (ranked.agg(F.sum("__source_size")).first()[0] or 0) * share
-    level = 0.0
-    while True:
-        full = F.col("__most") <= level * F.col("__weight")
-        got, free = ranked.agg(F.sum(F.when(full, F.col("__most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("__weight")))).first()
-        after = (total - got) / free if free else level
-        if not after > level:
-            break
-        level = after
-    return ranked.withColumn("__target", F.least("__most", F.lit(level) * F.col("__weight"))).drop("__rank", "__weight", "__most")
+    ranked = ranked.withColumn("__weight", weight).withColumn("__most", F.lit(float(cap)) * F.col("__source_size")).withColumn("__full", F.col("__most") / F.col("__weight"))
+    total, weighed = ranked.agg(F.sum("__source_size"), F.sum("__weight")).first()
+    total, weighed = (total or 0) * share, weighed or 1.0
+    summed = running_sums(ranked, {"__m": F.col("__most"), "__w": F.col("__weight")}, F.col("__full"), F.col("__source").asc_nulls_last())
+    free = F.lit(weighed) - F.col("__w")
+    # Sources whose caps are reached before the total is spent; the last of them says what is left for how much weight.
+    reached = summed.where(F.col("__m") + F.col("__full") * free < total * (1 - 1e-12))
+    last = reached.agg(F.max(F.struct("__w", "__m"))).first()[0]
+    left, of = (total - last["__m"], weighed - last["__w"]) if last else (total, weighed)
+    level = left / of if of > 1e-9 else float("inf")
+    return ranked.withColumn("__target", F.least("__most", F.lit(level) * F.col("__weight"))).drop("__rank", "__weight", "__most", "__full")
 
 
 def decisions(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:

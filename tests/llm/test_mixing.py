@@ -93,3 +93,26 @@ def test_query(spark, sf_dir):
         assert abs(target - want[s]) < 1e-6 * max(1, size)
         most = max(r.size for r in rows if r.source == s)
         assert abs(total[s] - target) <= max(0.02 * target, most)
+
+
+def test_flight_keeps_probabilities_and_settles_long_units():
+    r = np.random.default_rng(3)
+    size, p = np.sort(r.integers(1, 60, 12))[::-1].astype(float), r.random(12)
+    drawn = np.mean([mixing.fly(p.tolist(), [1.0] * 12, size.tolist(), seed, True) for seed in range(4000)], 0)
+    assert np.abs(drawn - p).max() < 0.04  # five standard deviations
+    size = np.sort((r.pareto(1.2, 1000) * 30).astype(int))[::-1].astype(float)
+    size[0] = 20_000
+    for seed in range(3):
+        p = r.random(1000)
+        off = np.array(mixing.fly(p.tolist(), [1.0] * 1000, size.tolist(), seed, True)) - p
+        assert abs((off * size).sum()) <= 5
+
+
+def test_many_capped_sources_meet_brute_force_targets(spark):
+    r = random.Random(9)
+    sizes = {f"s{i}": int(10 ** r.uniform(0, 6)) for i in range(300)} | {None: 7, "empty": 0}
+    df = spark.createDataFrame(list(sizes.items()), "__source string, __source_size long")
+    for share, cap in ((1.5, 2.0), (3.0, 2.0), (0.2, 1.0)):
+        got = {x["__source"]: x["__target"] for x in mixing.targets(df, (3, 1, 2), share, cap).collect()}
+        want = brute_targets(sizes, share=share, cap=cap)
+        assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in sizes)
