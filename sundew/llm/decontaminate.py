@@ -7,8 +7,8 @@ partitioned by set size in powers of two. The class's upper size fixes how many
 are probed by their full shingle hashes through a bitmap and a sorted array of sketch values; only documents with enough
 values of an item are verified, on all of its shingles.
 
-Benchmarks are taken in blocks of ``BLOCK_ITEMS`` items, so what is broadcast is bounded; each block is one pass over the
-documents. Documents are never shuffled.
+Benchmarks are dealt by hash into blocks of about ``BLOCK_BYTES`` of text, so what is broadcast is bounded (by that and the longest
+item); each block is one pass over the documents. Documents are never shuffled.
 
 Nulls: null or wordless texts and items match nothing; null ids are returned as they are. Repeated rows of documents or items
 give repeated pairs. Empty tables give empty results.
@@ -25,12 +25,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, positions, read_table, rows_where, shingle_hashes, words
+from .common import WordHashes, checkpoint, read_table, rows_where, shingle_hashes, slices, words
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketch values beyond those that may be missing.
 EXTRA = 8
-BLOCK_ITEMS = 20_000
+#: Bytes of items' texts in a block; their hashes take about twice as much. Benchmarks of this size need one pass.
+BLOCK_BYTES = 32 << 20
 
 
 class Sketches:
@@ -93,11 +94,11 @@ class Sketches:
 def blocks_of(benchmark: DataFrame, width: int, percent: int) -> Iterator[Broadcast]:
     """The sketches of each block of items, broadcast."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    placed = checkpoint(positions(items, F.col("item_id").asc_nulls_last(), F.col("text"), name="at"))
-    blocks = (placed.agg(F.max("at")).first()[0] or 0) // BLOCK_ITEMS + 1
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
     for b in range(blocks):
-        block = placed.where(F.floor(F.col("at") / BLOCK_ITEMS) == b).orderBy("at").select("item_id", "text").collect()  # BLOCK_ITEMS at most
-        yield benchmark.sparkSession.sparkContext.broadcast(Sketches([tuple(r) for r in block], width, percent))
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_BYTES
+        yield benchmark.sparkSession.sparkContext.broadcast(Sketches(sorted(map(tuple, block), key=repr), width, percent))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
@@ -108,7 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
 
         def probe(batches, held=held):
             hashes, sketches = WordHashes(), held.value
-            for batch in batches:
+            for batch in slices(batches, 1):
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     out += [(doc_id, sketches.ids[i], n, len(sketches.sets[i])) for i, n in sketches.inside(hashes.of(words(text)))]

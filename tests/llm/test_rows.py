@@ -33,9 +33,9 @@ def test_languages_are_kept_by_row(spark):
     assert pairs_of(kept) == sorted([*lines, (None, "the dog"), (None, "the cat"), (3, "and the cat")], key=repr)
 
 
-@pytest.mark.parametrize("block", [1, 20_000])
+@pytest.mark.parametrize("block", [100, 20_000])
 def test_leaks_go_by_row(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     items = [words(100), words(101), words(102)]
     clean = [(None, words(1)), (7, words(2)), (None, None), (None, words(3)), (8, words(4))]
     df = rows_of(spark, [*clean, (None, "so " + items[0]), (7, items[1] + " end"), (8, items[2])])
