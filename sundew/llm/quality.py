@@ -3,9 +3,9 @@
 Overlapping heuristics vote on each document: good, junk, toxic, or not at all. Expectation-maximisation (Dawid and Skene, 1979)
 estimates each labeller's accuracy, its distribution of votes given the true class, and the classes' shares from how often each pattern
 of votes occurs; nothing else is known of the documents, and the patterns are few whatever the input. The posterior of its
-pattern labels each document, and a linear scorer on hashed words learns these posteriors from a sample of about ``SAMPLE``
-documents, so it also judges by words that no labeller knows. A document's class is that of the product of both views;
-only good ones are kept.
+pattern labels each document. A linear scorer on hashed features, a document's words and each labeller's vote, learns these
+posteriors from ``SAMPLE`` distinct texts, drawn by hash and each weighing as one, and the scorer alone decides, so it also
+judges by words that no labeller knows.
 
 Nulls: a null or wordless text is junk by definition (score 0). Null ids are passed on. Rows are judged alike wherever they occur. Empty tables give
 empty results.
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_CODES, checkpoint, read_table, words
+from .common import LONG_WORD, MOST_CODES, checkpoint, read_table, sampled_texts, slices, words
 
 CLASSES = ("good", "junk", "toxic")
 GOOD, JUNK, TOXIC, NONE = 0, 1, 2, 3
-#: Documents that the scorer learns from, in expectation; its hashed features; epochs.
+#: Distinct texts that the scorer learns from; its hashed features; epochs.
 SAMPLE, FEATURES, EPOCHS = 6000, 1 << 17, 4
 #: Abusive words of English, French, German and Spanish.
 ABUSE = frozenset(
@@ -126,52 +126,55 @@ class LabelModel:
         return self._posterior(np.array([pattern]))[0]
 
 
-class WordFeatures(dict):
+class Features(dict):
     """Word to its hashed feature, remembered per task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_CODES:
-            self.clear()
-        value = self[word] = zlib.crc32(word) & (FEATURES - 1)
+        value = zlib.crc32(word) & (FEATURES - 1)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MOST_CODES:
+                self.clear()
+            self[word] = value
         return value
 
-    def of(self, text: str) -> np.ndarray:
-        """Features of the distinct blank-separated words of a text."""
+    def of(self, text: str, pattern: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of a text and their values: its distinct blank-separated words share a length of 1, each vote has 1."""
         found = set(words(text))
-        return np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
+        of_words = np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
+        of_votes = [zlib.crc32(f"vote {j} {v}".encode()) & (FEATURES - 1) for j, v in enumerate(pattern) if v != NONE]
+        values = np.repeat([1 / np.sqrt(max(len(of_words), 1)), 1.0], [len(of_words), len(of_votes)])
+        return np.append(of_words, np.array(of_votes, np.int64)), values
 
 
 class Scorer:
-    """Softmax regression on hashed words, each text's features scaled to unit length."""
+    """Softmax regression on hashed features."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, rows: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]):
         self.weights, self.bias = np.zeros((FEATURES, len(CLASSES)), np.float32), np.zeros(len(CLASSES))
         squares = np.full(FEATURES, 1e-6)
         order = np.random.default_rng(3)
         for _ in range(EPOCHS):
             for i in order.permutation(len(rows)):
-                f, target = rows[i]
-                if not len(f):
-                    continue
-                scale = 1 / np.sqrt(len(f))
-                g = self.probabilities(f) - target
-                squares[f] += (g * g).sum() * scale * scale
-                self.weights[f] -= (0.5 * scale / np.sqrt(squares[f]))[:, None] * g
+                (f, x), target = rows[i]
+                g = self.probabilities(f, x) - target
+                squares[f] += (g * g).sum() * x * x
+                self.weights[f] -= (0.5 * x / np.sqrt(squares[f]))[:, None] * g
                 self.bias -= 0.02 * g
 
-    def probabilities(self, f: np.ndarray) -> np.ndarray:
-        z = self.bias + self.weights[f].sum(0) / np.sqrt(max(len(f), 1))
+    def probabilities(self, f: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = self.bias + x @ self.weights[f]
         p = np.exp(z - z.max())
         return p / p.sum()
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, label (good, junk, toxic), kept, score (that it is good), weak_good, weak_toxic (posteriors of the votes)."""
+    """doc_id, label (good, junk, toxic), kept, score (that it is good), weak_good, weak_toxic (posteriors of the votes). Driver
+    memory: the sample's texts, one at a time but for their features."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def vote(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             made = [bytes(votes(t)) if has_words(t) else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "votes"])
 
@@ -180,18 +183,20 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if not patterns:
         return rows.select("doc_id", F.lit("junk").alias("label"), F.lit(False).alias("kept"), *[F.lit(0.0).alias(c) for c in ("score", "weak_good", "weak_toxic")])
     labels = LabelModel(patterns)
-    share = min(1.0, sample / sum(patterns.values()))
-    some = rows.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(share * (1 << 30))) & F.col("text").isNotNull())
-    learned = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in some.toLocalIterator())  # bounded by the sample
-    hashed = WordFeatures()
-    scorer = Scorer([(hashed.of(t), labels.posterior(votes(t))) for _, t in learned if has_words(t)])
+    hashed = Features()
+    learned = []
+    for text in sorted(r["text"] for r in sampled_texts(rows, sample)):
+        if has_words(text):
+            pattern = votes(text)
+            learned.append((hashed.of(text, pattern), labels.posterior(pattern)))
+    scorer = Scorer(learned)
     held = spark.sparkContext.broadcast((labels, scorer))
 
     def judge(batches):
         labels, scorer = held.value
-        hashed = WordFeatures()
+        hashed = Features()
         seen: dict[bytes, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for text in batch.column(1).to_pylist():
                 if not has_words(text):
@@ -202,10 +207,9 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 if key not in seen:
                     seen[key] = labels.posterior(pattern)
                 weak = seen[key]
-                both = np.maximum(weak, 1e-6) * np.sqrt(scorer.probabilities(hashed.of(text)))
-                both /= both.sum()
-                best = int(both.argmax())
-                out.append((CLASSES[best], best == GOOD, float(both[GOOD]), float(weak[GOOD]), float(weak[TOXIC])))
+                p = scorer.probabilities(*hashed.of(text, pattern))
+                best = int(p.argmax())
+                out.append((CLASSES[best], best == GOOD, float(p[GOOD]), float(weak[GOOD]), float(weak[TOXIC])))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "label", "kept", "score", "weak_good", "weak_toxic"])
