@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions, trained in numpy.
 
 The base finds emails, IP addresses, cards and phones by their patterns. The tagger labels each character B or I of a kind, or O.
-It learns from labelled spans: those the base finds in a sample of about ``SAMPLE`` documents with digits or at signs, and
+It learns from labelled spans: those the base finds in ``SAMPLE`` distinct texts with digits or at signs, drawn by hash, and
 generated lines that hold such data in more spellings, and look-alikes without a label. A text is tagged in overlapping windows
 around every digit and at sign: a span has to hold one, so no other place can have any. Each window is decoded (Viterbi);
 where windows overlap, a character takes the label of the window in which it lies deepest, and spans are then read off the
@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, sampled_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 HIDDEN, ALPHABET = 20, 130  # 0: padding; 1..128: ASCII; 129: others
 #: Characters of a window; the context taken around a digit or at sign.
 WINDOW, STEP, AROUND = 96, 48, 24
-#: Documents that the tagger learns from, in expectation; windows of them at most; generated lines; passes.
+#: Distinct texts that the tagger learns from; windows of them at most; generated lines; passes.
 SAMPLE, REAL, MADE, PASSES = 2000, 1000, 1600, 12
 #: Fewest and most digits of an added span of each kind.
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (8, 15)}
@@ -301,12 +301,10 @@ def generated(n: int = MADE, seed: int = 11) -> list[tuple[str, list[tuple[str,
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     """A tagger from generated lines and from base spans in a sample of ``docs`` (doc_id, text)."""
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = some.count()
-    chosen = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(n, 1)) * (1 << 30)))
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     lines = generated()
     taken = 0
-    for text in sorted(r["text"] for r in chosen.toLocalIterator()):  # bounded by the sample
+    for text in sorted(r["text"] for r in sampled_texts(some, sample)):
         found = base_spans(text)
         for a, b in windows(text):
             inside = [(k, s - a, e - a) for k, s, e in found if a <= s and e <= b]
@@ -322,7 +320,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
 
 def reconcile(length: int, cuts: list[tuple[int, int]], tags: list[np.ndarray]) -> np.ndarray:
     """Labels of a whole text: each character's from the window in which it lies deepest, the first of equals."""
-    out, depth = np.zeros(length, np.int64), np.full(length, -1)
+    out, depth = np.zeros(length, np.int8), np.full(length, -1, np.int16)
     for (a, b), t in zip(cuts, tags, strict=True):
         at = np.arange(b - a)
         deep = np.minimum(at, b - a - 1 - at)
@@ -393,24 +391,22 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         tagger = held.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                base = [base_spans(t) for t in texts]
-                cuts = [windows(t) for t in texts]
-                parts = [codes(t[a:b]) for t, c in zip(texts, cuts, strict=True) for a, b in c]
-                tags = []
-                for a in range(0, len(parts), 512):
-                    tags += list(tagger.decode(_padded(parts[a : a + 512])))
-                out, at = [], 0
-                for t, b, c in zip(texts, base, cuts, strict=True):
-                    more = added(t, b, read_spans(reconcile(len(t), c, tags[at : at + len(c)]))) if c else []
-                    at += len(c)
-                    out.append((*(sum(k == kind for k, _, _ in b) for kind in KINDS), hashlib.sha256(_text_of(b).encode()).hexdigest(), _text_of(b + more), len(more)))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 7
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+        for batch in slices(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            cuts = [windows(t) for t in texts]
+            parts = [codes(t[a:b]).astype(np.uint8) for t, c in zip(texts, cuts, strict=True) for a, b in c]
+            tags = []
+            for a in range(0, len(parts), 512):
+                tags += list(tagger.decode(_padded(parts[a : a + 512])).astype(np.int8))
+            out, at = [], 0
+            for t, b, c in zip(texts, base, cuts, strict=True):
+                more = added(t, b, read_spans(reconcile(len(t), c, tags[at : at + len(c)]))) if c else []
+                at += len(c)
+                out.append((*(sum(k == kind for k, _, _ in b) for kind in KINDS), hashlib.sha256(_text_of(b).encode()).hexdigest(), _text_of(b + more), len(more)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
