@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from sundew.llm import language, pii, quality
+from sundew.llm.common import sampled_texts
 
 DOCS = "doc_id long, text string, lang string, source string, lang_pred string, score double"
 
@@ -50,6 +51,28 @@ def test_code_lengths_equal_brute_force():
             assert abs(got[i, j] - ppm_bits(samples[lang], t)) < 1e-9
 
 
+def test_long_texts_are_coded_piece_by_piece(monkeypatch):
+    samples = {"x": ["the cat sat on the mat", "a cat"], "y": ["der Hund und die Katze", "größer"]}
+    texts = ["the cat " * 40, "", "Die Katze größer " * 9, "é", "x"]
+    whole = language.Model(samples).bits(texts)
+    for size in (1, 3, 64):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert np.abs(language.Model(samples).bits(texts) - whole).max() < 1e-9
+
+
+def test_samples_are_distinct_and_bounded(spark):
+    rows = [("a", f"text {i}") for i in range(300)] + [("b", "the same")] * 500 + [("b", f"b {i}") for i in range(5)] + [("c", None)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    made = {}
+    for r in sampled_texts(df, 40, "lang"):
+        made.setdefault(r.lang, {})[r.text] = r.n
+    assert len(made["a"]) == 40 and set(made["a"]) <= {t for x, t in rows if x == "a"}
+    assert made["b"]["the same"] == 500 and len(made["b"]) == 6 and set(made) == {"a", "b"}
+    again = sampled_texts(df.repartition(9), 40, "lang")
+    assert sorted(map(repr, again)) == sorted(repr(r) for r in sampled_texts(df, 40, "lang"))
+    assert len(sampled_texts(df, 100)) == 100 and sampled_texts(df.limit(0), 5) == []
+
+
 def test_language_query_is_accurate_on_held_out_texts(spark, sf_dir):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = language.op10_ppm_language(spark, sf_dir).collect()
@@ -79,14 +102,55 @@ def test_language_edge_cases(spark):
 def test_quality_finds_toxic_and_junk_and_keeps_the_rest(spark, sf_dir):
     known = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in quality.op6_weak_quality(spark, sf_dir).collect() if r.doc_id in known]
-    # No document of another language that is labelled toxic holds a word of the list (170 of 449 in sf0.1), so those are not found.
+    # In the other languages no word tells those labelled toxic from the rest; only copies share words (see the README).
     english = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").collect()}
     toxic = [r for r in rows if known[r.doc_id].toxic and r.doc_id in english]
     clean = [r for r in rows if not known[r.doc_id].toxic and known[r.doc_id].quality]
     assert sum(r.label == "toxic" for r in toxic) >= 0.8 * len(toxic)
+    assert sum(not r.kept for r in toxic) >= 0.95 * len(toxic)
     assert sum(r.kept for r in clean) >= 0.9 * len(clean)
 
 
+def dawid_skene(patterns, steps=200):
+    """Posteriors of each pattern, from dictionaries."""
+    good, junk, toxic, none = 0, 1, 2, 3
+    post = {}
+    for v in patterns:
+        tally = [sum(x == c for x in v) * (3.0 if c == toxic else 2.0 if c == junk else 1.0) + 0.1 for c in (good, junk, toxic)]
+        post[v] = [t / sum(tally) for t in tally]
+    for _ in range(steps):
+        total = sum(patterns.values())
+        mass = [sum(n * post[v][c] for v, n in patterns.items()) for c in range(3)]
+        prior = [(m + 1) / (total + 3) for m in mass]
+        new = {}
+        table = {}
+        for j in range(len(next(iter(patterns)))):
+            for c in range(3):
+                row = [sum(n * post[v][c] for v, n in patterns.items() if v[j] == x) + 0.5 for x in range(4)]
+                table[j, c] = [x / sum(row) for x in row]
+        for v in patterns:
+            log = [math.log(prior[c]) + sum(math.log(table[j, c][x]) for j, x in enumerate(v) if x != none) for c in range(3)]
+            p = [math.exp(x - max(log)) for x in log]
+            new[v] = [x / sum(p) for x in p]
+        done = max(abs(a - b) for v in patterns for a, b in zip(new[v], post[v], strict=True)) < 1e-8
+        if done:
+            return new
+        post = new
+    return post
+
+
+def test_label_model_equals_brute_force():
+    r = np.random.default_rng(6)
+    patterns = Counter()
+    for _ in range(3000):
+        true = r.choice(3, p=[0.7, 0.2, 0.1])
+        patterns[tuple(int(3 if r.random() < 0.2 else true if r.random() < q else r.integers(0, 3)) for q in (0.9, 0.8, 0.6, 0.4))] += 1
+    model, want = quality.LabelModel(dict(patterns)), dawid_skene(dict(patterns))
+    for v in patterns:
+        assert np.abs(model.posterior(list(v)) - want[v]).max() < 1e-6
+    assert model.table[0].diagonal().min() > model.table[3].diagonal().min()  # the better labeller is found to be so
+
+
 def test_quality_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "### $$$ 123"), (None, "a quiet day by the river and the sea."), (5, "word " * 60_000), (6, "You idiot, you pathetic loser, you are scum.")]
     made = {r.doc_id: r for r in quality.classify(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, label string")).collect()}
@@ -168,6 +232,28 @@ def test_find_keeps_base_spans_and_handles_odd_rows(spark):
     assert pii.find(df.limit(0), pii.Tagger()).count() == 0
 
 
+def test_query_trains_on_the_table_and_keeps_base_spans(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    made = pii.op8_lstm_crf(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in made) == sorted(texts)
+    for r in made:
+        base = plain_spans(texts[r.doc_id] or "")
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) - {""} <= set(r.spans.split(","))
+        assert len([x for x in r.spans.split(",") if x]) == len(base) + r.n_added
+
+
+def test_trained_tagger_finds_spellings_that_the_base_misses(spark):
+    rows = [(1, "call +1 (555) 123-4567 or a.b@c.org")] * 3 + [(2, "no data here 12 and 7")]
+    tagger = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    cards = ["4111  1111  1111  1111", "5500 0000  0000 0004", "3400 0000  0000 009"]
+    df = spark.createDataFrame([(i, f"my card is {x} thanks") for i, x in enumerate(cards)], "doc_id long, text string")
+    found = pii.find(df, tagger).collect()
+    assert all(r.n_card == 0 for r in found) and sum(r.n_added for r in found) >= 1
+
+
 def test_tagger_learns_spans():
     lines = pii.generated(pii.MADE, 21)
     x = pii._padded([pii.codes(t[: pii.WINDOW]) for t, _ in lines])
