@@ -32,8 +32,8 @@ from .common import LONG_WORD, checkpoint, read_table, shared_folder, slices
 
 #: Ids in one block at most, but for a longer document, which is a block of its own.
 BLOCK_IDS = 1_000_000
-#: Words whose ids a worker keeps before it starts afresh, some 70 MB: tokenizing a word costs far more than finding it.
-MOST_WORDS = 400_000
+#: Words whose ids a worker keeps before it starts afresh, some 140 MB: tokenizing a word costs far more than finding it.
+MOST_WORDS = 800_000
 BLOCKS = "shard int, block int, start long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 #: Lengths of the four values that a control byte announces.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
