@@ -155,6 +155,54 @@ def ancestor_names(paths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(paths, suffixes)))
 
 
+def parent_paths(paths: Column) -> Column:
+    """The paths without their last step."""
+    return F.array_distinct(F.transform(paths, lambda p: F.regexp_replace(p, "/[^/]*$", "")))
+
+
+def any_value(column: Column, stars: str) -> Column:
+    """``prop:*``, with any number of stars: the property has a value."""
+    if not stars or stars.strip("*"):
+        raise ValueError(f"not only stars: {stars}")
+    return column.isNotNull()
+
+
+def over_all(held: list[Column], kind: str, make) -> Column:
+    """A predicate over all attributes. Terms are refused; prefixes, wildcards, fuzzy terms, ranges and spans spread over each."""
+    if kind == "term":
+        raise NotImplementedError("terms over all attributes are not supported")
+    out = make(held[0])
+    for h in held[1:]:
+        out = out | make(h)
+    return out
+
+
+def facet_filter(text: str, kind: Column, size: Column, groups: dict[str, list[str]]) -> Column:
+    """A filter of a request: ``mimetype():group``, ``contentSize():a TO b`` (the upper end excluded), or an expression."""
+    if text.startswith("mimetype():"):
+        return holds(kind.isin(*groups.get(text.partition(":")[2], [text.partition(":")[2]])))
+    if text.startswith("contentSize():"):
+        low, _, high = text.partition(":")[2].partition(" TO ")
+        return number_range(size, low, high, (True, False))
+    return holds(F.expr(text))
+
+
+def path_tokens(paths: Column) -> Column:
+    """array<struct<namespace, name, depth>> of the steps of each path, ``/{ns}a`` or ``/ns:a``; the length stands on each."""
+
+    def steps(p: Column) -> Column:
+        held = F.filter(F.split(p, "/"), lambda s: s != "")
+        return F.transform(held, lambda s: F.struct(F.regexp_extract(s, "^([^:]*):", 1).alias("namespace"), F.regexp_replace(s, "^[^:]*:", "").alias("name"), F.size(held).alias("length")))
+
+    return F.flatten(F.transform(paths, steps))
+
+
+def tags_of_paths(paths: Column) -> Column:
+    """Decoded tags among the category paths of a node: what stands below ``/cm:taggable``."""
+    found = F.transform(paths, lambda p: F.regexp_extract(p, r"/cm:taggable/cm:([^/]+)", 1))
+    return F.array_distinct(F.transform(F.filter(found, lambda t: t != ""), decode_names))
+
+
 def last_step(paths: Column, name: str) -> Column:
     return holds(F.exists(paths, lambda p: F.element_at(F.split(p, "/"), -1) == name))
 

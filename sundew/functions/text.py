@@ -105,34 +105,48 @@ def places(held: Column, word: str) -> Column:
 
 
 def phrase(held: Column, words: list[str], slop: int = 0) -> Column:
-    """The words in order with at most ``slop`` other tokens between the first and the last. A cheap conjunction of
-    terms comes first."""
-    return holds(bound(held, lambda h: _phrase(h, words, slop)))
+    """The words next to each other with at most ``slop`` other tokens among them: in order below a slop of 2, in any order from
+    there on. A cheap conjunction of terms comes first."""
+    return holds(bound(held, lambda h: _phrase(h, [w.lower() for w in words], slop)))
 
 
 def _phrase(held: Column, words: list[str], slop: int) -> Column:
     cheap = term(held, words[0])
     for w in words[1:]:
         cheap = cheap & term(held, w)
-    if slop == 0:
-        match = F.exists(places(held, words[0]), lambda p: _run(held, words, p))
-    else:
-        match = F.exists(places(held, words[0]), lambda p: F.exists(places(held, words[-1]), lambda q: (q > p) & (q - p - len(words) + 1 <= slop) & _between(held, words[1:-1], p, q)))
-    return cheap & match
+    if slop < 2:
+        # With one other token, it stands before one of the later words.
+        runs = lambda p: [_run(held, words, p, gap) for gap in (range(1, len(words) + 1) if slop else (len(words),))]
+        return cheap & F.exists(places(held, words[0]), lambda p: any_of(runs(p)))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1))), lambda i: F.get(held, i - 1).isin(*words))
+    need = {w: words.count(w) for w in words}
+    return cheap & F.exists(starts, lambda p: bound(F.slice(held, p, len(words) + slop), lambda window: _holds_all(window, need)))
+
+
+def any_of(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
 
 
-def _run(held: Column, words: list[str], at: Column) -> Column:
+def _run(held: Column, words: list[str], at: Column, gap: int) -> Column:
+    """The words from a place on, one token left out before the word of number ``gap``."""
     out = F.lit(True)
     for k, w in enumerate(words[1:], 1):
-        out = out & (F.get(held, at - 1 + k) == w.lower())
+        out = out & (F.get(held, at - 1 + k + int(k >= gap)) == w)
     return holds(out)
 
 
-def _between(held: Column, words: list[str], p: Column, q: Column) -> Column:
+def _holds_all(window: Column, need: dict[str, int]) -> Column:
     out = F.lit(True)
-    for w in words:
-        out = out & F.array_contains(F.slice(held, p + 1, F.greatest(q - p - 1, F.lit(0))), w.lower())
-    return out
+    for w, n in need.items():
+        out = out & (F.array_contains(window, w) if n == 1 else F.size(F.filter(window, _equals(w))) >= n)
+    return holds(out)
+
+
+def _equals(word: str):
+    return lambda t: t == word
 
 
 def near(held: Column, first: str, then: str, most: int | None = None) -> Column:
@@ -165,6 +179,30 @@ def snippet(text: Column | str, words: list[str], size: int = 100) -> Column:
     return F.when(at > 0, highlight(F.substring(column, F.greatest(at - size // 2, F.lit(1)), F.lit(size)), words))
 
 
+def fragments(text: Column | str, words: list[str], size: int = 100, most: int = 1, merge: bool = False, before: str = "<em>", after: str = "</em>") -> Column:
+    """The first ``most`` fragments of ``size`` characters that hold a word, marked; with ``merge`` neighbours are one. Words that
+    a cut would split are found in neither fragment. Empty without a match."""
+    column = F.col(text) if isinstance(text, str) else text
+    pattern = r"(?i)\b(" + "|".join(map(re.escape, words)) + r")\b"
+
+    def cut(t: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(t) / size).cast("int") - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), F.substring(t, i * size + 1, F.lit(size)).alias("piece")))
+        hit = F.filter(pieces, lambda x: x["piece"].rlike(pattern))
+        if not merge:
+            return F.transform(F.slice(hit, 1, most), lambda x: x["piece"])
+        none = F.array().cast("array<struct<i:int,piece:string>>")
+
+        def grow(acc: Column, x: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            joined = F.struct(x["i"].alias("i"), F.concat(last["piece"], x["piece"]).alias("piece"))
+            return F.when((F.size(acc) > 0) & (last["i"] + 1 == x["i"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+        return F.transform(F.slice(F.aggregate(hit, none, grow), 1, most), lambda x: x["piece"])
+
+    marked = lambda piece: F.regexp_replace(piece, pattern, f"{before}$1{after}")
+    return F.when(column.rlike(pattern), F.transform(bound(column, cut), marked)).otherwise(F.array().cast("array<string>"))
+
+
 def decode_names(column: Column) -> Column:
     """ISO 9075 path names: the escapes of blanks and leading digits that occur in site and tag names."""
     # The code points that occur escaped in such names.

@@ -96,6 +96,35 @@ def stats(df: DataFrame, value: Column, by: list[str] | None = None, numeric: bo
     return (df.groupBy(*by) if by else df).agg(*parts)
 
 
+def value_stats(df: DataFrame, value: Column, percentiles: list[float] | None = None) -> DataFrame:
+    """count_distinct, distinct_values, and exact ``percentiles`` of a number."""
+    parts = [F.count_distinct(value).alias("count_distinct")]
+    if percentiles:
+        return df.agg(*parts, *[F.percentile(value, p).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles])
+    return df.agg(*parts, F.array_sort(F.collect_set(value)).alias("distinct_values"))
+
+
+def pivot_stats(df: DataFrame, value: Column, *fields: str) -> DataFrame:
+    """A pivot whose buckets carry statistics of a number: cnt, min, max, mean for every level."""
+    rolled = df.rollup(*fields).agg(F.count("*").alias("cnt"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), F.grouping_id().alias("gid"))
+    level = F.lit(len(fields)) - F.round(F.log2(F.col("gid") + 1)).cast("int")
+    return rolled.withColumn("level", level).where("level > 0").drop("gid")
+
+
+def pivot_ranges(df: DataFrame, value: Column, start: float, gap: float, *fields: str) -> DataFrame:
+    """A pivot whose buckets carry a range facet: cnt for each combination of fields and each bucket that has rows."""
+    bucket = F.lit(float(start)) + F.floor((value - start) / gap) * F.lit(float(gap))
+    return df.where(value >= start).groupBy(*fields, bucket.alias("bucket")).agg(F.count("*").alias("cnt"))
+
+
+def month_facet(df: DataFrame, value: Column, start: str, end: str, months: int = 1) -> DataFrame:
+    """bucket, cnt of all calendar buckets of ``months`` months in [start, end), the empty ones too."""
+    frame = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"INTERVAL {months} MONTHS"))).alias("bucket")).where(F.col("bucket") < F.lit(end).cast("timestamp"))
+    since = F.floor(F.months_between(F.date_trunc("month", value), F.lit(start).cast("timestamp")) / months) * months
+    counts = df.where((value >= F.lit(start).cast("timestamp")) & (value < F.lit(end).cast("timestamp"))).groupBy(F.add_months(F.lit(start).cast("date"), since.cast("int")).cast("timestamp").alias("bucket")).agg(F.count("*").alias("n"))
+    return frame.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("cnt"))
+
+
 def moments(df: DataFrame, value: Column) -> DataFrame:
     """n, min, max, mean, variance (n - 1), and bias-corrected skewness and excess kurtosis, in one pass."""
     made = df.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from .places import positions
+from .places import checkpoint, positions
 
 
-def bm25(nodes: DataFrame, key: str, held: Column, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of the nodes with one of the words. Collection figures are one aggregate over the nodes, joined as one row."""
+def bm25(nodes: DataFrame, key: str, held: Column, words: list[str], k1: float = 1.2, b: float = 0.75, boosts: dict[str, float] | None = None) -> DataFrame:
+    """key, score of the nodes with one of the words; a boosted word counts that many times. Collection figures are one aggregate over the nodes, joined as one row."""
     rows = nodes.select(key, held.alias("__t"))
     for n, w in enumerate(words):
         rows = rows.withColumn(f"__tf{n}", F.size(F.array_remove(F.transform("__t", _is(w)), False)))
@@ -23,6 +23,7 @@ def bm25(nodes: DataFrame, key: str, held: Column, words: list[str], k1: float =
     for n in range(len(words)):
         tf, df = F.col(f"__tf{n}"), F.col(f"__df{n}")
         idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
+        idf = idf * (boosts or {}).get(words[n], 1.0)
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / F.col("__avg")))).otherwise(0.0)
     return scored.select(key, score.alias("score")).where("score > 0")
 
@@ -45,12 +46,14 @@ def collated(column: Column, locale: str) -> Column:
     return F.collate(column, locale)
 
 
-def rerank(scored: DataFrame, second: DataFrame, key: str, docs: int = 200, weight: float = 2.0, scale: bool = False, elevated: list[int] | None = None) -> DataFrame:
-    """key, score, place. The first ``docs`` rows by score get ``score + weight * second`` where the second query matches and
+def rerank(scored: DataFrame, second: DataFrame, key: str, docs: int = 200, weight: float = 2.0, scale: bool = False, elevated: list[int] | None = None, start: int = 0, rows: int = 0) -> DataFrame:
+    """key, score, place. The first ``docs`` rows by score, or as many as the page ``start`` + ``rows`` reaches, get ``score + weight * second`` where the second query matches and
     are ordered anew; the rest keep their order behind them. ``scale``: scores are shares of the best, plus 1 if changed.
     Elevated keys come first, in their order."""
-    head = scored.orderBy(F.desc("score"), key).limit(docs).withColumn("__head", F.lit(True))
-    rest = scored.join(head.select(key), key, "left_anti").withColumn("__head", F.lit(False))
+    # Scores are worked out once: the head is cut from the places, and neither part asks for the texts again.
+    ranked = checkpoint(positions(scored, F.desc("score"), F.col(key), name="__place"))
+    head = ranked.where(F.col("__place") < max(docs, start + rows)).drop("__place").withColumn("__head", F.lit(True))
+    rest = ranked.where(F.col("__place") >= max(docs, start + rows)).drop("__place").withColumn("__head", F.lit(False))
     boost = second.select(key, F.col("score").alias("__second"))
     head = head.join(boost, key, "left")
     score = F.col("score") + weight * F.coalesce("__second", F.lit(0.0))
@@ -66,19 +69,38 @@ def rerank(scored: DataFrame, second: DataFrame, key: str, docs: int = 200, weig
     return placed.select(key, "score", (F.col("place") + 1).cast("int").alias("place"))
 
 
+def ordered(scored: DataFrame, second: DataFrame, key: str, sort: list | None = None, **options) -> DataFrame:
+    """A result in the order asked for; a second query plays no part where there is a sort."""
+    if sort:
+        return positions(scored, *sort, name="place").select(key, "score", (F.col("place") + 1).cast("int").alias("place"))
+    return rerank(scored, second, key, **options)
+
+
 def recency(scored: DataFrame, at: Column, now: Column, decay: float = 3.16e-11, weight: float = 3.0) -> DataFrame:
     """Adds ``weight / (decay * age in ms + 1)`` to the score."""
     age = (F.unix_millis(now.cast("timestamp")) - F.unix_millis(at.cast("timestamp"))).cast("double")
     return scored.withColumn("score", F.col("score") + weight / (decay * age + 1))
 
 
-def spellings(vocabulary: DataFrame, word: str, most: int = 2, prefix: int = 1, n: int = 5) -> DataFrame:
-    """term, df, distance: corrections that share the first letter, nearest first, then the more frequent."""
+def spellings(vocabulary: DataFrame, word: str, most: int = 2, prefix: int = 1, n: int = 5, accuracy: float = 0.0) -> DataFrame:
+    """term, df, distance: corrections that share the first letter, nearest first, then the more frequent. ``accuracy``: the least
+    similarity, 1 - distance / the longer length."""
     near = vocabulary.where((F.length("term") >= 4) & F.col("term").startswith(word[:prefix]) & (F.col("term") != word))
     near = near.withColumn("distance", F.levenshtein("term", F.lit(word), most)).where("distance >= 0")
+    near = near.where(1 - F.col("distance") / F.greatest(F.length("term"), F.lit(len(word))) >= accuracy)
     return near.orderBy("distance", F.desc("df"), "term").limit(n)
 
 
+def collations(nodes: DataFrame, held: Column, words: list[str], corrections: DataFrame, at: int) -> DataFrame:
+    """term, hits: for each correction of the word number ``at`` how many of the filtered nodes hold all words then; those
+    without a hit are no collation. Nodes are filtered by the other words first, and corrections are a short list."""
+    rows = nodes.select(F.array_distinct(held).alias("__t"))
+    for w in (w for i, w in enumerate(words) if i != at):
+        rows = rows.where(F.array_contains("__t", w))
+    found = rows.select(F.explode("__t").alias("term")).join(corrections.select("term"), "term", "left_semi")
+    return found.groupBy("term").agg(F.count("*").alias("hits"))
+
+
 def word_breaks(vocabulary: DataFrame, word: str) -> DataFrame:
     """left, right: splits of a word into two terms of the vocabulary."""
     cuts = vocabulary.sparkSession.createDataFrame([(word[:i], word[i:]) for i in range(1, len(word))], "left string, right string")
@@ -91,13 +113,15 @@ def suggestions(weighted: DataFrame, prefix: str, n: int = 5) -> DataFrame:
 
 
 def more_like(nodes: DataFrame, key: str, held: Column, of: int, terms: int = 10, n: int = 10) -> DataFrame:
-    """key, score of the nodes that share the most telling terms (tf * idf) of one node."""
+    """key, score of the nodes that share the most telling terms (tf * idf over all nodes) of one node. Spark broadcasts the one
+    node's terms below its threshold and joins by shuffle beyond it; those taken are ``terms`` rows."""
+    total = nodes.count()
     rows = nodes.select(key, F.explode(held).alias("term"))
     tf = rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
     mine = tf.where(F.col(key) == of).select("term", F.col("tf").alias("my_tf"))
     # Only the node's own terms need document frequencies.
-    df = tf.join(F.broadcast(mine.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    best = mine.join(df, "term").withColumn("w", F.col("my_tf") * F.log(F.lit(1.0) + 1000.0 / F.col("df"))).orderBy(F.desc("w"), "term").limit(terms)
+    df = tf.join(mine.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    best = mine.join(df, "term").withColumn("w", F.col("my_tf") * F.log(F.lit(1.0) + F.lit(float(total)) / F.col("df"))).orderBy(F.desc("w"), "term").limit(terms)
     hits = tf.where(F.col(key) != of).join(F.broadcast(best.select("term", "w")), "term")
     return hits.groupBy(key).agg(F.round(F.sum("w"), 6).alias("score")).orderBy(F.desc("score"), key).limit(n)
 
@@ -110,14 +134,38 @@ def coefficients(i: int) -> tuple[int, int]:
     return (i * 7919 + 104729) % P, (i * 15485863 + 1299709) % P
 
 
+def term_vector(nodes: DataFrame, key: str, held: Column, of: int) -> DataFrame:
+    """term, tf, positions of one node."""
+    rows = nodes.where(F.col(key) == of).select(F.posexplode(held).alias("at", "term"))
+    return rows.groupBy("term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+
+
+def word_contexts(nodes: DataFrame, key: str, held: Column) -> DataFrame:
+    """term, contexts: how many different pairs of neighbours a word stands between. Pairs are counted as hashes."""
+    around = bound(held, lambda h: F.transform(h, lambda t, i: F.struct(t.alias("term"), F.xxhash64(F.coalesce(F.when(i > 0, F.get(h, i - 1)), F.lit("")), F.coalesce(F.get(h, i + 1), F.lit(""))).alias("context"))))
+    return nodes.select(F.inline(around)).groupBy("term").agg(F.count_distinct("context").alias("contexts"))
+
+
 def fingerprints(nodes: DataFrame, key: str, held: Column, width: int = 5) -> DataFrame:
-    """key, signature: minima of hashed word shingles; nodes with fewer words have none."""
+    """key, signature: minima of hashed word shingles; nodes with fewer words have none. All in the row, without a shuffle."""
     grams = bound(held, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.array_join(F.slice(h, i, width), " ")))
-    rows = nodes.where(F.size(held) >= width).select(key, F.explode(F.array_distinct(grams)).alias("s"))
-    h = F.conv(F.substring(F.md5("s"), 1, 15), 16, 10).cast("long") % P
-    rows = rows.select(key, h.alias("h"))
-    mins = [F.min((F.col("h") * coefficients(i)[0] + coefficients(i)[1]) % P).alias(f"m{i}") for i in range(FUNCTIONS)]
-    return rows.groupBy(key).agg(*mins).select(key, F.array(*[f"m{i}" for i in range(FUNCTIONS)]).alias("signature"))
+    h = lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % P
+    rows = nodes.where(F.size(held) >= width).select(key, F.transform(F.array_distinct(grams), h).alias("h"))
+    mins = [F.array_min(F.transform("h", _mixed(*coefficients(i)))) for i in range(FUNCTIONS)]
+    return rows.select(key, F.array(*mins).alias("signature"))
+
+
+def _mixed(a: int, b: int):
+    return lambda h: (h * a + b) % P
+
+
+def one_node(nodes: DataFrame, key: str, wanted: str) -> DataFrame:
+    """The node of a number or a reference, of which there has to be exactly one."""
+    found = nodes.where(F.col(key) == int(wanted)) if wanted.isdigit() else nodes.where(F.col("reference") == wanted)
+    n = found.limit(2).count()
+    if n != 1:
+        raise ValueError(f"{wanted} names {'no node' if not n else 'several nodes'}")
+    return found
 
 
 def similar(prints: DataFrame, key: str, of: int, similarity: float) -> DataFrame:
@@ -141,5 +189,5 @@ def band_matches(prints: DataFrame, key: str, of: int, similarity: float, probab
     starts = list(range(0, FUNCTIONS, rows))[:count]
     keyed = F.array(*[F.concat_ws(",", *[F.get("signature", F.lit((s + r) % FUNCTIONS)) for r in range(rows)]) for s in starts])
     held = prints.select(key, F.posexplode(keyed).alias("band", "value"))
-    mine = held.where(F.col(key) == of).select("band", "value")
+    mine = held.where(F.col(key) == of).select("band", "value")  # FUNCTIONS rows at most
     return held.join(F.broadcast(mine), ["band", "value"], "left_semi").select(key).distinct()

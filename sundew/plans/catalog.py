@@ -11,7 +11,7 @@ from ..operators.access import readable
 from ..operators.facets import field_facet
 from ..operators.ranking import bm25, top
 from ..sources.content import access_lists, nodes
-from . import field_queries, result_queries, text_queries  # noqa: F401  they register their queries
+from . import analysis_queries, field_queries, result_queries, schema_queries, service_queries, text_queries  # noqa: F401  they register their queries
 from .registry import ACL, D, QUERIES, SQL, query
 
 

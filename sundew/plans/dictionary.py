@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -70,6 +71,14 @@ class Dictionary:
                 out.append(t)
         return out
 
+    def get(self, name: str) -> dict:
+        """What is known of a type; empty for an unknown one."""
+        found = self.find(name)
+        return {"name": found, "parent": self.parents[found], "included": found not in self.hidden} if found else {}
+
+    def names(self) -> list[str]:
+        return sorted(self.parents)
+
     def is_type(self, column: Column, name: str, exact: bool = False) -> Column:
         found = [self.find(name)] if exact and self.find(name) else [] if exact else self.closure(name)
         return holds(column.isin(*found)) if found else F.lit(False)
@@ -78,6 +87,22 @@ class Dictionary:
         found = [self.find(name)] if exact and self.find(name) else [] if exact else self.closure(name)
         return holds(F.arrays_overlap(column, F.array(*map(F.lit, found)))) if found else F.lit(False)
 
+    def is_class(self, kinds: Column, aspects: Column, name: str) -> Column:
+        """A type or an aspect of that name, subtypes included."""
+        return self.is_type(kinds, name) | self.has_aspect(aspects, name)
+
+    def sort_column(self, name: str) -> Column:
+        column = self.read(name, "sort")
+        if column is None:
+            raise ValueError(f"{name} cannot be sorted by")
+        return column
+
+    def model_name(self, column: str) -> str | None:
+        """The property of a column; ``name.size`` and its like for the parts of a content, which stand behind two underscores."""
+        name, _, part = column.partition("__")
+        found = next((p.name for p in self.properties.values() if (p.column or p.name) == name), None)
+        return f"{found}.{part}" if found and part else found
+
     def read(self, name: str, use: str) -> Column | None:
         """The column for a use (fts, exact, facet, sort, stats, suggest, highlight); None where the use has none."""
         p = self.properties.get(name)
@@ -96,6 +121,23 @@ class Dictionary:
         return [p for p in self.properties.values() if p.kind == kind and p.indexed]
 
 
+def from_json(models: list[str]) -> Dictionary:
+    """A dictionary from models as JSON texts: {"types": [{"name", "parent", "included"}], "properties": [{"name", ...}]}. Types may
+    come before their parents, also in another model; those whose parent is nowhere are errors."""
+    d, waiting = Dictionary(), []
+    for text in models:
+        model = json.loads(text)
+        waiting += model.get("types", [])
+        d.properties |= {p["name"]: Property(**p) for p in model.get("properties", [])}
+    while ready := [t for t in waiting if t.get("parent") is None or t["parent"] in d.parents]:
+        for t in ready:
+            d.put(t["name"], t.get("parent"), t.get("included", True))
+        waiting = [t for t in waiting if t not in ready]
+    for t in waiting:
+        d.put(t["name"], t["parent"])
+    return d
+
+
 def part_types() -> Dictionary:
     """The part types of the driver's tables as a small hierarchy."""
     d = Dictionary()

@@ -52,11 +52,13 @@ def delete(now: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return now.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def merge_fields(now: DataFrame, more: DataFrame, key: str) -> DataFrame:
-    """Field-level updates: a new value where there is one, else the old one."""
-    new = more.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in more.columns if c != key])
+def merge_fields(now: DataFrame, more: DataFrame, key: str, clear: tuple[str, ...] = ()) -> DataFrame:
+    """Field-level updates: a new value where there is one, else the old one. A null says nothing of its field, but for the
+    fields named in ``clear``, which an updated row's null empties."""
+    new = more.select(F.col(key), F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in more.columns if c != key])
     both = now.join(new, key, "full")
-    return both.select(key, *[F.coalesce(f"__{c}", c).alias(c) if c in more.columns else F.col(c) for c in now.columns if c != key])
+    value = lambda c: F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)) if c in clear else F.coalesce(f"__{c}", c)
+    return both.select(key, *[value(c).alias(c) if c in more.columns else F.col(c) for c in now.columns if c != key])
 
 
 def unique_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -67,6 +69,23 @@ def next_commit(log: DataFrame, after) -> DataFrame:
     return log.where(F.col("commit") >= F.lit(after)).agg(F.min("commit").alias("commit"))
 
 
+def transactions(log: DataFrame, since=None, until=None, first: int | None = None, last: int | None = None, most: int | None = None) -> DataFrame:
+    """Transactions from one commit time (inclusive) to another (exclusive) and from one id to another, oldest first; ``most`` of
+    them. Filters on the log's own columns reach its files."""
+    for at, bounds in (("commit", (since, until)), ("tx", (first, last))):
+        low, high = bounds
+        if low is not None:
+            log = log.where(F.col(at) >= F.lit(low))
+        if high is not None:
+            log = log.where(F.col(at) < F.lit(high))
+    return log if most is None else log.orderBy("commit", "tx").limit(most)
+
+
+def acl_changes(log: DataFrame, lists: DataFrame) -> DataFrame:
+    """change_set, aclid, readers, denied: each change set's lists as they stand."""
+    return log.select("change_set", "aclid").distinct().join(lists, "aclid").select("change_set", "aclid", "readers", "denied")
+
+
 def snapshot(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
 

@@ -9,14 +9,18 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from sundew.operators import facets, ranking
-from sundew.plans import catalog, registry
+from sundew.functions import analysis, fields, text
+from sundew.operators import facets, projection, ranking
+from sundew.plans import catalog, dictionary, registry
+from sundew.sources import content
+from sundew.sources.content import changes
+from sundew.streaming import tracker
 
 
-def test_reconcile_all_sees_documents_from_600_on(spark, tmp_path):
+def test_reconcile_sees_documents_from_600_on(spark, tmp_path):
     spark.createDataFrame([(i, int(u), "view", 1.0) for i, u in enumerate((50, 150, 600, 5000))], "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
     spark.range(1200).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.dbid: r.state for r in catalog.queries()["reconcile_all"](spark, str(tmp_path)).collect()}
+    got = {r.dbid: r.state for r in catalog.queries()["reconcile"](spark, str(tmp_path)).collect()}
     assert got == {i: "missing" for i in range(1200) if i not in (550, 650, 1100)} | {5500: "extra"}
 
 
@@ -34,9 +38,9 @@ def test_sorts_place_every_row(spark, tmp_path):
     spark.range(1500).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(1000, 1500).selectExpr("id AS doc_id", "(1499 - id) DIV 100 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
     spark.range(300).selectExpr("id AS o_orderkey", "string(id % 3) AS o_orderpriority", "double(id % 7) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
-    nulls = {r.doc_id: r.place for r in catalog.queries()["sort_nulls_all"](spark, str(tmp_path)).collect()}
+    nulls = {r.doc_id: r.place for r in catalog.queries()["sort_nulls"](spark, str(tmp_path)).collect()}
     assert nulls == {i: n for n, i in enumerate([*range(1000), *sorted(range(1000, 1500), key=lambda i: ((1499 - i) // 100, i))], 1)}
-    multi = {r.o_orderkey: r.place for r in catalog.queries()["sort_multi_all"](spark, str(tmp_path)).collect()}
+    multi = {r.o_orderkey: r.place for r in catalog.queries()["sort_multi"](spark, str(tmp_path)).collect()}
     assert multi == {i: n for n, i in enumerate(sorted(range(300), key=lambda i: (str(i % 3), -(i % 7), i)), 1)}
 
 
@@ -69,3 +73,102 @@ def test_names_of_queries_are_refused_twice():
     assert {"progress_slope", "progress_rate"} <= set(catalog.oracle_sql())
     with pytest.raises(ValueError, match="progress_rate"):
         registry.query("SELECT 1")(catalog.queries()["progress_rate"])
+
+
+def _log(spark, folder, name, rows):
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def test_tracker_goes_on_after_a_restart_and_a_failed_batch(spark, tmp_path, monkeypatch):
+    day, src, folder = datetime(2024, 1, 1), str(tmp_path / "src"), str(tmp_path / "state")
+    rows = lambda n, at, kind: [(at * 1000 + i, day + timedelta(days=at, minutes=i), i, kind, float(at)) for i in range(*n)]
+    current = lambda: sorted(tuple(r) for r in tracker.current(changes(spark, src)).select("dbid", "tx", "value").collect())
+    found = lambda made: sorted(tuple(r) for r in made.where("what = 'update'").select("dbid", "tx", "value").collect())
+    _log(spark, src, "a", rows((0, 150), 1, "view"))
+    assert len(found(tracker.follow(tracker.log_stream(spark, src), folder))) == 150
+    _log(spark, src, "b", rows((140, 160), 2, "click") + rows((0, 5), 3, "error"))
+    # The next batch writes its nodes and dies before its marker.
+    real = tracker.latest
+
+    def torn(*args):
+        made = real(*args)
+        made.withColumn("bucket", F.lit(0)).limit(3).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/nodes/version=1")
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tracker, "latest", torn)
+    with pytest.raises(Exception, match="lost"):
+        tracker.follow(tracker.log_stream(spark, src), folder)
+    monkeypatch.setattr(tracker, "latest", real)
+    assert len(found(tracker.current_table(spark, folder, tracker.log_stream(spark, src).schema))) == 150
+    assert found(tracker.follow(tracker.log_stream(spark, src), folder)) == current()
+    assert found(tracker.follow(tracker.log_stream(spark, src), folder)) == current()  # nothing new
+
+
+def test_phrases_keep_their_order_below_a_slop_of_two(spark):
+    df = spark.createDataFrame([("The quick brown fox jumped",), ("fox then some more words quick",), ("a b a",)], "text string").withColumn("t", text.tokens("text"))
+    hits = lambda words, slop: [r.text[:3] for r in df.where(text.phrase(F.col("t"), words, slop)).collect()]
+    assert hits(["quick", "fox"], 0) == [] and hits(["quick", "fox"], 1) == ["The"] and hits(["fox", "quick"], 1) == []
+    assert hits(["fox", "quick"], 2) == ["The"] and hits(["fox", "quick"], 4) == ["The", "fox"]
+    assert hits(["a", "a"], 0) == [] and hits(["a", "a"], 1) == ["a b"] and hits(["b", "b"], 3) == []
+    assert hits(["quick", "brown", "jumped"], 1) == ["The"] and hits(["quick", "jumped", "fox"], 1) == []
+
+
+def test_analysis(spark):
+    df = spark.createDataFrame([("The Foxes' PowerShot500 \u00c9t\u00e9 \u65e5\u672c", "en_US"), ("die H\u00e4user und der", "de"), ("plain the", "xx")], "text string, locale string")
+    got = [r[0] for r in df.select(analysis.analyzed("text", F.col("locale"))).collect()]
+    assert got == [["fox", "powershot500", "\u00e9t\u00e9", "\u65e5\u672c"], ["h\u00e4us"], ["plain", "the"]]
+    assert df.select(analysis.word_parts("text")).first()[0] == ["the", "foxes", "power", "shot", "500", "\u00e9t\u00e9", "\u65e5\u672c"]
+    assert analysis.query_locales("de_CH", "LOCALE_AND_ALL") == ["de_CH", "de", ""]
+
+
+def test_refused_queries(spark):
+    one = spark.createDataFrame([(1, "a", "x:1"), (2, "b", "x:2"), (2, "c", "x:3")], "dbid long, text string, reference string")
+    with pytest.raises(ValueError, match="advanced joins"):
+        projection.one_selector(one, one)
+    assert projection.one_selector(one) is one
+    with pytest.raises(NotImplementedError):
+        fields.over_all([F.col("text")], "term", lambda h: h)
+    with pytest.raises(ValueError, match="several"):
+        ranking.one_node(one, "dbid", "2")
+    with pytest.raises(ValueError, match="no node"):
+        ranking.one_node(one, "dbid", "x:9")
+    assert ranking.one_node(one, "dbid", "x:3").count() == 1
+    d = dictionary.part_types()
+    d.properties["tags"] = dictionary.Property("tags", multiple=True)
+    with pytest.raises(ValueError, match="sorted"):
+        d.sort_column("tags")
+
+
+def test_dictionary_of_models():
+    d = dictionary.from_json(['{"types": [{"name": "b", "parent": "a"}, {"name": "x", "parent": "nowhere"}]}', '{"types": [{"name": "a"}, {"name": "c", "parent": "b", "included": false}]}'])
+    assert d.names() == ["a", "b", "c"] and d.closure("a") == ["a", "b"] and d.get("c") == {"name": "c", "parent": "b", "included": False}
+    assert d.errors == ["x: unknown parent nowhere"] and d.get("none") == {}
+    with pytest.raises(ValueError, match="subtypes"):
+        d.remove("b")
+    d.remove("c")
+    assert d.names() == ["a", "b"]
+
+
+def test_merge_clears_named_fields_only(spark):
+    now = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k long, x string, y string")
+    more = spark.createDataFrame([(1, None, None), (3, "n", None)], "k long, x string, y string")
+    got = lambda **o: sorted(tuple(r) for r in content.merge_fields(now, more, "k", **o).collect())
+    assert got() == [(1, "a", "b"), (2, "c", "d"), (3, "n", None)]
+    assert got(clear=("y",)) == [(1, "a", None), (2, "c", "d"), (3, "n", None)]
+
+
+def test_query_log_and_snapshots(spark, tmp_path):
+    for i in range(2):
+        tracker.log_query(spark, f"{tmp_path}/qlog", "ann", "cm:name:a", "NAME:a", i, datetime(2024, 1, 1 + i))
+    assert sorted(r.hits for r in spark.read.parquet(f"{tmp_path}/qlog").collect()) == [0, 1]
+    df = spark.range(3)
+    content.snapshot(df, f"{tmp_path}/s", 1)
+    content.snapshot(df.limit(1), f"{tmp_path}/s", 2)
+    assert [content.restore(spark, f"{tmp_path}/s", v).count() for v in (1, 2)] == [3, 1]
+
+
+def test_collated_order(spark):
+    rows = [("z",), ("\u00e5",), (None,), ("a",), ("B",)]
+    df = spark.createDataFrame(rows, "n string")
+    assert [r.n for r in df.orderBy(ranking.collated(F.col("n"), "sv")).collect()] == [None, "a", "B", "z", "\u00e5"]
+    assert [r.n for r in df.orderBy(ranking.collated(F.col("n"), "fr").desc()).collect()] == ["z", "B", "\u00e5", "a", None]
