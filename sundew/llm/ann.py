@@ -3,10 +3,11 @@
 Vectors are put on the unit sphere of one more dimension so that the largest inner product is the smallest distance. Each of
 ``M`` random projections sorts the vectors of a block. A query opens a window around its own projection in every sorted array
 and widens it by virtual rehashing; a vector that falls into at least ``NEED`` windows is verified by its exact inner product.
-The radius grows by ``C``, but never beyond ``REACH`` times the distance of the k-th best verified so far, and the query ends
-there: at that radius any nearer vector is expected in more than ``M * (2 Phi(REACH) - 1)`` windows, and NEED lies ``SLACK``
-standard deviations below. So collisions alone decide what is verified; no number of candidates is fixed. On sf0.1 (2,000
-vectors without structure) recall and the verified share are in the README.
+A window is a range of ranks, so collisions are counted by comparing ranks with its ends, array by array. While fewer than k
+vectors are verified, the radius grows to just below where the k-th by collisions is expected to reach NEED, and by ``C`` at
+least; a query starts a little below where the one before it ended. With k verified the radius goes to ``REACH`` times the distance of the k-th best verified, and the query ends there: at that radius any nearer vector
+is expected in more than ``M * (2 Phi(REACH) - 1)`` windows, and NEED lies ``SLACK`` standard deviations below. So collisions
+alone decide what is verified; no number of candidates is fixed. The README has recall and the share verified.
 
 Every row is indexed and every query (row of the stated set) meets every block: queries and vectors are dealt in blocks of
 bounded size, a task holds one pair of blocks, and the k nearest of each pair are merged by a window over the query. Work is
@@ -30,14 +31,17 @@ from pyspark.sql import functions as F
 
 from .common import by_sorted_key, checkpoint, read_table
 
-#: Projections; growth of the radius; first radius; distances that the last radius reaches; slack of the threshold.
-M, C, R0, REACH, SLACK = 320, 1.25, 0.6, 1.5, 0.5
+#: Projections (a count of collisions has a byte); least growth of the radius; first radius; distances that the last radius
+#: reaches; slack of the threshold.
+M, C, R0, REACH, SLACK = 255, 1.04, 1.0, 1.5, 0.7
+NORMAL = NormalDist()
 #: A difference of two vectors at distance d projects to d times a standard normal, so this share of windows holds it.
-SHARE = 2 * NormalDist().cdf(REACH) - 1
-#: Windows that must hold a vector.
+SHARE = 2 * NORMAL.cdf(REACH) - 1
+#: Windows that must hold a vector, and the radius in distances at which so many are expected to.
 NEED = ceil(M * SHARE - SLACK * sqrt(M * SHARE * (1 - SHARE)))
-#: Rows of a block of vectors, and of queries. Large blocks of vectors make few windows for each query.
-VECTORS, QUERIES = 32_768, 512
+EXPECTED = NORMAL.inv_cdf((NEED / M + 1) / 2)
+#: Rows of a block of vectors (a rank has two bytes), and of queries. Large blocks of vectors make few windows for each query.
+VECTORS, QUERIES = 65_536, 1024
 SEED = 7
 
 
@@ -58,10 +62,11 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     norm = sqrt(squares.max()) * (1 + 1e-9)
     lift = np.sqrt(np.maximum(norm * norm - squares, 0))
     keys = a @ np.concatenate([vectors, lift[:, None]], 1).T / norm
-    order = np.empty((M, n), np.int32)
+    ranks = np.empty((M, n), np.uint16)
     for j in range(M):
-        order[j] = np.argsort(keys[j], kind="stable")
-        keys[j] = keys[j, order[j]]
+        order = np.argsort(keys[j], kind="stable")
+        keys[j] = keys[j, order]
+        ranks[j, order] = np.arange(n, dtype=np.uint16)
     lengths = np.sqrt((queries * queries).sum(1))
     centres = a[:, :dim] @ (queries / lengths[:, None]).T
     # The arrays lie end to end, each moved up beyond the last, so that one search finds the windows of all.
@@ -69,18 +74,21 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     gap = 4 * (np.abs(keys).max() + np.abs(centres).max() + whole)
     shift = np.arange(M) * gap
     keys += shift[:, None]
-    flat, order = keys.ravel(), order.ravel()
+    flat, starts = keys.ravel(), np.arange(M) * n
+    first = R0
+    past, inside, hits = np.empty(n, np.uint16), np.empty(n, bool), np.empty(n, np.uint8)
     for i, (query_id, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
-        hits, checked = np.zeros(n, np.int64), np.zeros(n, bool)
+        checked = np.zeros(n, bool)
         got_ids, got = np.zeros(0, np.int64), np.zeros(0)
         centre = centres[:, i] + shift
-        below = above = np.searchsorted(flat, centre)
-        radius = R0
+        radius = first
         while True:
             low, high = np.split(np.searchsorted(flat, np.concatenate([centre - radius, np.nextafter(centre + radius, np.inf)])), 2)
-            rings = [order[x:y] for x, y in zip(np.concatenate([low, above]).tolist(), np.concatenate([below, high]).tolist(), strict=True)]
-            hits += np.bincount(np.concatenate(rings), minlength=n)
-            below, above = low, high
+            hits[:] = 0
+            for j in np.nonzero(high > low)[0].tolist():
+                np.subtract(ranks[j], np.uint16(low[j] - starts[j]), out=past)  # wraps around for ranks below the window
+                np.less_equal(past, np.uint16(high[j] - low[j] - 1), out=inside)
+                np.add(hits, inside.view(np.uint8), out=hits)
             fresh = np.nonzero((hits >= NEED) & ~checked)[0]
             checked[fresh] = True
             fresh = fresh[ids[fresh] != query_id]
@@ -88,10 +96,17 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             if len(got) > k:
                 best = np.lexsort((got_ids, -got))[:k]
                 got_ids, got = got_ids[best], got[best]
-            reach = inf if len(got) < k else REACH * sqrt(max(2 - 2 * got.min() / (norm * lengths[i]), 1e-12))
-            if radius >= min(reach, whole):
+            if len(got) == k:
+                reach = REACH * sqrt(max(2 - 2 * got.min() / (norm * lengths[i]), 1e-12))
+                if radius >= min(reach, whole):
+                    break
+                radius = reach
+            elif radius >= whole:
                 break
-            radius = min(radius * C, reach)
+            else:
+                share = min(max(int(np.partition(hits, n - min(n, k + 1))[n - min(n, k + 1)]), 1), M - 1) / M
+                radius = max(radius * C, 0.94 * radius * EXPECTED / NORMAL.inv_cdf((share + 1) / 2))
+        first = max(0.93 * radius, R0)
         best = np.lexsort((got_ids, -got))
         yield query_id, got_ids[best], got[best], int(checked.sum())
 
