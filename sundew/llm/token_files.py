@@ -32,8 +32,8 @@ from .common import LONG_WORD, checkpoint, read_table, shared_folder, slices
 
 #: Ids in one block at most, but for a longer document, which is a block of its own.
 BLOCK_IDS = 1_000_000
-#: Words whose ids a worker keeps before it starts afresh, some 140 MB: tokenizing a word costs far more than finding it.
-MOST_WORDS = 800_000
+#: Words whose ids a worker keeps before it starts afresh, some 180 MB: tokenizing a word costs far more than finding it.
+MOST_WORDS = 1_000_000
 BLOCKS = "shard int, block int, start long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 #: Lengths of the four values that a control byte announces.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -174,8 +174,8 @@ def _counted(batches):
         n = 0
 
     for batch in batches:
-        for blob in batch.column(0):
-            held.append(_ids(blob.as_py()))
+        for blob in batch.column(0).to_pylist():  # batches are bounded in bytes
+            held.append(_ids(blob))
             n += len(held[-1])
             if n > BLOCK_IDS:
                 add()
@@ -215,8 +215,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
         for batch in batches:
-            for doc_id, blob in zip(batch.column(0), batch.column(1), strict=True):
-                doc_id, ids = doc_id.as_py(), _ids(blob.as_py())
+            for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = _ids(blob)
                 if held and held + len(ids) > BLOCK_IDS:
                     yield out()
                 docs_.append(doc_id)
