@@ -135,7 +135,7 @@ class WordTokens(dict):
 
 @lru_cache(maxsize=1)
 def _vocabulary(path: str) -> WordTokens:
-    """A worker keeps its words from task to task, as far as ``MOST_WORDS`` allow."""
+    """A worker keeps its words from task to task, as far as ``MOST_WORDS`` allow, until it counts ids."""
     return WordTokens(path)
 
 
@@ -162,6 +162,7 @@ def _ids(blob: bytes) -> np.ndarray:
 
 
 def _counted(batches):
+    _vocabulary.cache_clear()  # all texts are tokenized, so a worker that goes on to other stages needs no words
     total, held, n = np.zeros(0, np.int64), [], 0
 
     def add():
