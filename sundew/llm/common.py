@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_CODES, LONG_WORD = 100_000, 64
 #: Bytes of text that a task turns into Python objects at a time; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Spark's bound for an Arrow batch, and ours: the JVM holds a batch outside its heap, twice while it grows, for each task.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 * SLICE_BYTES
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -35,6 +37,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in batches of ``BATCH_BYTES`` instead of Spark's 64 MB, unless the session names a bound of its own. The
+    setting stays in the session; it changes how rows travel, not what comes of them."""
+    if df.sparkSession.conf.get(BATCH_LIMIT, None) is None:
+        df.sparkSession.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches cut where a text column has filled ``SLICE_BYTES``: rows may hold texts of any length."""
     for batch in batches:
@@ -134,7 +144,7 @@ def by_sorted_key(df: DataFrame, key: str, make: Callable[[pa.Table], Iterator[p
         for table in groups_of(batches, key):
             yield from make(table)
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key).transform(map_arrow, run, schema)
 
 
 def rows_where(docs: DataFrame, fine: Callable[[list[str | None]], list[bool]]) -> DataFrame:
@@ -146,7 +156,7 @@ def rows_where(docs: DataFrame, fine: Callable[[list[str | None]], list[bool]])
             kept = batch.filter(pa.array(fine(batch.column(last).to_pylist()), pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:last], batch.schema.names[:last])
 
-    return docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, docs.schema)
+    return docs.select("*", F.col("text").cast("string").alias("__text")).transform(map_arrow, run, docs.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

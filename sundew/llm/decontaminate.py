@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, read_table, rows_where, shingle_hashes, slices, words
+from .common import WordHashes, checkpoint, map_arrow, read_table, rows_where, shingle_hashes, slices, words
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketch values beyond those that may be missing.
@@ -116,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
                 columns = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
 
-        passes.append(rows.mapInArrow(probe, "doc_id long, item_id long, n_shared long, n_item long"))
+        passes.append(rows.transform(map_arrow, probe, "doc_id long, item_id long, n_shared long, n_item long"))
     return reduce(DataFrame.unionAll, passes)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, rows_where, sampled_texts, slices
+from .common import map_arrow, read_table, rows_where, sampled_texts, slices
 
 ORDER = 4
 #: Distinct texts of each language that trees are learned from; bytes of all trees at most.
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             pred, score, rate = judge(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def fold(rest: int = 2):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, by_sorted_key, checkpoint, components, read_table, shingle_set, slices, words
+from .common import WORD, WordHashes, by_sorted_key, checkpoint, components, map_arrow, read_table, shingle_set, slices, words
 
 #: Values that a sketch retains.
 K = 32
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sketch.append(found[:K].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["rid", "rhash", "doc_id", "n_shingles", "same", "sketch"])
 
-    return docs.select(row_id().alias("rid"), row_hash().alias("rhash"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, rhash long, doc_id long, n_shingles long, same binary, sketch array<bigint>")
+    return docs.select(row_id().alias("rid"), row_hash().alias("rhash"), F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "rid long, rhash long, doc_id long, n_shingles long, same binary, sketch array<bigint>")
 
 
 def neighbourhoods(classes: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +183,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
             keep = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("node", "component", "blocks", "block")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.binary())], ["node", "component", "blocks", "block", "shingles"])
 
-    full = docs.join(placed, ["rid", "rhash"]).select("node", "component", "blocks", "block", "same", "text").mapInArrow(sets_of, "node long, component long, blocks long, block long, shingles binary")
+    full = docs.join(placed, ["rid", "rhash"]).select("node", "component", "blocks", "block", "same", "text").transform(map_arrow, sets_of, "node long, component long, blocks long, block long, shingles binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tiles = full.select("*", other).select("node", "block", "shingles", F.concat_ws(":", "component", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
 

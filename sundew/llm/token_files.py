@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_WORD, checkpoint, read_table, shared_folder, slices
+from .common import LONG_WORD, checkpoint, map_arrow, read_table, shared_folder, slices
 
 #: Ids in one block at most, but for a longer document, which is a block of its own.
 BLOCK_IDS = 1_000_000
@@ -153,7 +153,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 ids.append(press.compress(got.view(np.uint8).reshape(-1, 4).T.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, n long, ids binary")
 
 
 def _ids(blob: bytes) -> np.ndarray:
@@ -193,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     """
     spark = docs.sparkSession
     made = checkpoint(tokenized(docs, tokenizer, end_id))
-    counts = made.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = made.select("ids").transform(map_arrow, _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame(list(enumerate(by_rank)), "rank long, id long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
@@ -228,7 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
     order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("ids"))
     dealt = made.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    dealt.select("doc_id", "ids").transform(map_arrow, blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -255,7 +255,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = blocks.mapInArrow(run, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * ids)
+    rows = blocks.transform(map_arrow, run, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * ids)
     return rows.join(shards, "shard").select("doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
